@@ -14,22 +14,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What must stand right before a cut, strongest first.
-BOUNDARIES = (r"\n[ \t]*\n", r"\n", r"[.!?][\"')\]]?\s", r"[;:,]\s", r"\s")
+#: What a core ends with, strongest boundary first, and how many characters that takes at most.
+BOUNDARIES = ((r"\n[ \t]{0,8}\n", 10), (r"\n", 1), (r"[.!?][\"')\]]?\s", 3), (r"[;:,]\s", 2), (r"\s", 1))
 
 
 def core_pattern(limit: int, overlap: int) -> str:
     """Cores of at most ``limit`` characters at the start of a text and ``limit - overlap`` after it, each longer than half
     of that where it ends at a boundary, so that no core but the last is shorter than the overlap."""
-    if not 0 <= overlap <= limit // 3:
-        raise ValueError("the overlap must be at most a third of the limit")
+    if not 0 <= overlap <= limit // 3 or limit < 30:
+        raise ValueError("the limit must be at least 30 and the overlap at most a third of it")
 
     def run(most: int, anchor: str) -> str:
         least = max(overlap, most // 2)
-        ends = "|".join(f"[\\s\\S]{{{least},{most}}}(?<={b})" for b in BOUNDARIES)
-        return f"{anchor}(?:[\\s\\S]{{1,{most}}}\\z|{ends}|[\\s\\S]{{{most}}})"
+        ends = "|".join(f".{{{least},{most - n}}}{b}" for b, n in BOUNDARIES)
+        return f"{anchor}(?:.{{1,{most}}}+\\z|{ends}|.{{{most}}})"
 
-    return run(limit, r"\A") + "|" + run(limit - overlap, "")
+    return "(?s)" + run(limit, r"\A") + "|" + run(limit - overlap, "")
 
 
 def cores(text: Column, limit: int, overlap: int) -> Column:
@@ -75,4 +75,4 @@ def split_items(df: DataFrame, text: str = "text", a: str = "a", limit: int = 12
 def oversized(df: DataFrame, key: str, text: str = "text", limit: int = 1200, overlap: int = 200) -> DataFrame:
     """The keys of the items that the splitter cuts into more than one piece."""
     cut = split_items(df.select(key, text, F.lit(None).cast("bigint").alias("a")), text, "a", limit, overlap)
-    return cut.filter((F.col("piece_no") == 0) & (F.col("n_pieces") > 1)).select(key)
+    return cut.filter(F.col("piece_no") == 1).select(key)
