@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from quarrystone.llm import bpe, pieces, spans
+from quarrystone.llm import bpe, mixing, pieces, spans, stuffing
 from quarrystone.session import table
 
 
@@ -33,7 +31,24 @@ def p6_ids(spark, d):
     return bpe.encode_frame(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p1_spans, p3_found, p3_pieces, p6_ids)}
+def p7_mix(spark, d):
+    return mixing.mix(mixing.sized(table(spark, d, "documents", "doc_id", "source", "text")), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark, d):
+    sizes, targets = mixing.sized(table(spark, d, "documents", "doc_id", "source", "text")), table(spark, d, "mix_targets")
+    return mixing.shares(sizes, targets, mixing.mix(sizes, targets))
+
+
+def p8_found(spark, d):
+    return stuffing.stuffed_pages(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_scores(spark, d):
+    return stuffing.page_scores(table(spark, d, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p1_spans, p3_found, p3_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
 
 SQL = {
     "p3_found": "SELECT id FROM chunks WHERE length(text) > 1200",
