@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import bpe, mixing, pieces, spans, stuffing
+from pyspark.sql import functions as F
+
+from quarrystone.llm import bpe, mixing, personal, pieces, spans, stuffing
 from quarrystone.session import table
 
 
@@ -19,6 +21,25 @@ def p1_spans(spark, d):
     return spans.shared_spans(table(spark, d, "chunks", "id", "token", "text"))
 
 
+def quoted(spark, d):
+    """Both tables with free text as one: (tbl, id, token, text)."""
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("tbl"), "id", "token", "text")
+    return chunks.unionByName(table(spark, d, "obs").select(F.lit("obs").alias("tbl"), "id", "token", F.col("verbatim").alias("text")))
+
+
+def keyed(df):
+    return df.select(F.struct("tbl", "id").alias("k"), "text")
+
+
+def p2_found(spark, d):
+    got = personal.personal_spans(keyed(quoted(spark, d)), "k", "text")
+    return got.select("k.tbl", "k.id", "kind", "start_char").distinct()
+
+
+def p2_redacted(spark, d):
+    return personal.redact(keyed(quoted(spark, d)), "k", "text").select("k.tbl", "k.id", "redacted", "n_items")
+
+
 def p3_found(spark, d):
     return pieces.oversized(table(spark, d, "chunks", "id", "text"), "id")
 
@@ -48,7 +69,7 @@ def p8_scores(spark, d):
     return stuffing.page_scores(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p1_spans, p3_found, p3_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p1_spans, p2_found, p2_redacted, p3_found, p3_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
 
 SQL = {
     "p3_found": "SELECT id FROM chunks WHERE length(text) > 1200",
