@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm import bpe, mixing, personal, pieces, spans, stuffing
+from quarrystone.llm import bpe, mixing, personal, pieces, spans, spellings, stuffing
 from quarrystone.session import table
 
 
@@ -48,6 +48,14 @@ def p3_pieces(spark, d):
     return pieces.split_items(table(spark, d, "chunks", "id", "token", "a", "text"))
 
 
+def p4_found(spark, d):
+    return spellings.variant_pairs(table(spark, d, "contracts", "party"))
+
+
+def p4_entities(spark, d):
+    return spellings.entities(table(spark, d, "contracts", "party"))
+
+
 def p6_ids(spark, d):
     return bpe.encode_frame(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -69,7 +77,7 @@ def p8_scores(spark, d):
     return stuffing.page_scores(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p1_spans, p2_found, p2_redacted, p3_found, p3_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p1_spans, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_entities, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
 
 SQL = {
     "p3_found": "SELECT id FROM chunks WHERE length(text) > 1200",
