@@ -85,8 +85,8 @@ ABROAD = re.compile(
     r"|[A-ZÄÖÜ][\wäöüß\-]+(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee|ufer|damm|ring|laan|straat))(?: [A-ZÀ-Þ][\w'’\-]+)? \d{1,4}[a-z]?(?=, \d{4,5}\b|\b)"
 )
 #: A digit misread as a letter inside a number.
-MISREAD_DIGIT = re.compile(r"(?<=[\d\-. ()])[lIO|!oSB](?=[\d\-])|(?<=\d)[lIO|!oSB](?![\w])")
-DIGIT = str.maketrans("lIO|!oSB", "11011058")
+MISREAD_DIGIT = re.compile(r"(?<=[\d\-. ()])[lIO|!oSBZb](?=[\d\-])|(?<=\d)[lIO|!oSBZb](?![\w])")
+DIGIT = str.maketrans("lIO|!oSBZb", "1101105826")
 TITLE_GAP = re.compile(r"\.? {1,2}((?:(?:de|van|von|del|di|da|du|la|le|der|den) )*)")
 WORD = re.compile(r"[A-ZÀ-ÖØ-ÞŁŠŽĆČŚŻ](?:[\w'’\-!|]*[\w|])?")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm import bpe, mixing, personal, pieces, spans, spellings, stuffing
+from quarrystone.llm import bpe, mixing, personal, pieces, scans, spans, spellings, stuffing
 from quarrystone.session import table
 
 
@@ -56,6 +56,19 @@ def p4_entities(spark, d):
     return spellings.entities(table(spark, d, "contracts", "party"))
 
 
+def scanned(spark, d):
+    both = quoted(spark, d)
+    return scans.scan_noise(both, ["tbl", "id"], scans.learn(both.filter(F.length("text") > 0)))
+
+
+def p5_found(spark, d):
+    return scanned(spark, d).select("tbl", "id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p5_repaired(spark, d):
+    return scanned(spark, d).select("tbl", "id", "repaired")
+
+
 def p6_ids(spark, d):
     return bpe.encode_frame(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -77,7 +90,7 @@ def p8_scores(spark, d):
     return stuffing.page_scores(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p1_spans, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_entities, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p1_spans, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_entities, p5_found, p5_repaired, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
 
 SQL = {
     "p3_found": "SELECT id FROM chunks WHERE length(text) > 1200",
