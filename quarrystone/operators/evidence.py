@@ -159,7 +159,7 @@ def permutation_rate(df: DataFrame, key: str, left: str, right: str, draws: int
     # one row per value: for each draw a value's agreements are Poisson at l r / n, the limit of the matching's count.
     n = df.agg(F.count("*").alias("n"))
     c = df.groupBy(F.col(left).alias("v")).agg(F.count("*").alias("l")).join(df.groupBy(F.col(right).alias("v")).agg(F.count("*").alias("r")), "v")
-    lam = c.crossJoin(n).agg(F.sum(F.col("l") * F.col("r") / F.col("n")).alias("lam"), F.max("n").alias("n"))
+    lam = c.crossJoin(n).agg(F.coalesce(F.sum(F.col("l") * F.col("r") / F.col("n")), F.lit(0.0)).alias("lam"), F.max("n").alias("n"))
 
     def run(frames):
         for f in frames:

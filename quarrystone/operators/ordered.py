@@ -153,33 +153,40 @@ def cumulative_draws(items: DataFrame, key: str, weight: str, draws: int, seed:
     return both.withColumn(key, F.last(key, ignorenulls=True).over(o)).filter("draw is not null").select(*by, "draw", key)
 
 
-def surprise(rows: pd.DataFrame) -> pd.DataFrame:
-    """Excess of each claim (seq, a, b, neg, measure, value) of one document over all before it: new names and bonds, turned
-    polarities, revised figures. For applyInPandas on one document at a time."""
+def surprise(frames):
+    """Excess of each claim (doc, seq, a, b, neg, measure, value) over all before it in its document: new names and bonds,
+    turned polarities, revised figures. Frames hold whole documents one after the other, in order; a document may go on in
+    the next frame, so its state is carried over."""
+    doc = object()
     names: Counter = Counter()
     bonds: dict = {}
     figures: dict = {}
-    out = []
-    for r in rows.sort_values("seq").itertuples():
-        score = 0.0
-        a, b = sorted((str(r.a), str(r.b)))
-        new = [x for x in (a, b) if not names[x]]
-        if (a, b) not in bonds:
-            lo, hi = min(names[a], names[b]), max(names[a], names[b])
-            score += 1 + 0.5 * math.log2(1 + lo) if lo >= 2 else 1.0 if len(new) == 2 else 0.3 + 0.1 * math.log2(1 + hi)
-        elif bonds[a, b] != bool(r.neg):
-            score += 1.5
-        bonds[a, b] = bool(r.neg)
-        names.update({a: 1, b: 1})
-        if r.measure is not None and r.value is not None and not pd.isna(r.value):
-            old = figures.get(r.measure)
-            if old and abs(r.value / old - 1) >= 0.005:
-                score += 2 + min(2.0, abs(math.log2(abs(r.value / old)))) if r.value else 2.0
-            figures[r.measure] = float(r.value)
-        out.append((r.doc, r.seq, score))
-    return pd.DataFrame(out, columns=["doc", "seq", "excess"])
+    for f in frames:
+        out = []
+        for d, a, b, neg, measure, value in zip(f["doc"], f["a"], f["b"], f["neg"], f["measure"], f["value"]):
+            if d != doc:
+                doc, names, bonds, figures = d, Counter(), {}, {}
+            a, b = (a, b) if str(a) <= str(b) else (b, a)
+            score = 0.0
+            if (a, b) not in bonds:
+                lo, hi = sorted((names[a], names[b]))
+                score += 1 + 0.5 * math.log2(1 + lo) if lo >= 2 else 1.0 if not hi else 0.3 + 0.1 * math.log2(1 + hi)
+            elif bonds[a, b] != bool(neg):
+                score += 1.5
+            bonds[a, b] = bool(neg)
+            names[a] += 1
+            names[b] += 1
+            if measure is not None and value is not None and value == value:
+                old = figures.get(measure)
+                if old and abs(value / old - 1) >= 0.005:
+                    score += 2 + (min(2.0, abs(math.log2(abs(value / old)))) if value else 0.0)
+                figures[measure] = float(value)
+            out.append(score)
+        yield pd.DataFrame({"doc": f["doc"], "seq": f["seq"], "excess": out})
 
 
 def surprise_pass(claims: DataFrame) -> DataFrame:
-    """(doc, seq, excess) of claims (doc, seq, a, b, neg, measure, value)."""
-    return claims.groupBy("doc").applyInPandas(surprise, f"doc {dict(claims.dtypes)['doc']}, seq {dict(claims.dtypes)['seq']}, excess double")
+    """(doc, seq, excess) of claims (doc, seq, a, b, neg, measure, value): one exchange and sort, then one pass."""
+    t = dict(claims.dtypes)
+    x = claims.select("doc", "seq", "a", "b", "neg", "measure", "value").repartition("doc").sortWithinPartitions("doc", "seq")
+    return x.mapInPandas(surprise, f"doc {t['doc']}, seq {t['seq']}, excess double")
