@@ -52,7 +52,7 @@ def snake(x) -> Column:
 
 def title_line(x, n: int = 60) -> Column:
     """The first line with something in it, at most n characters."""
-    lines = F.filter(F.transform(F.split(text_of(x), "\n"), F.trim), lambda l: l != "")
+    lines = F.filter(F.transform(F.split(text_of(x), "\n"), lambda z: F.trim(z)), lambda l: l != "")
     return F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, n)
 
 
@@ -188,7 +188,7 @@ def statements(x) -> Column:
     """A text's statements: lines, and sentences within them."""
     lines = F.split(text_of(x), r"\n+")
     parts = F.flatten(F.transform(lines, lambda l: F.split(l, r"(?<=[.!?])\s+")))
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda z: F.trim(z)), lambda s: s != "")
 
 
 def words(x) -> Column:
@@ -224,13 +224,13 @@ def citations(x) -> Column:
 def similarity(a, b) -> Column:
     """1 - edit distance / longer length; 1 for two empty texts."""
     m = F.greatest(F.length(col(a)), F.length(col(b)))
-    return F.when(m == 0, 1.0).otherwise(1 - F.levenshtein(col(a), col(b)) / m)
+    return F.when(m == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(col(a), col(b)), m))
 
 
 def jaccard(a, b) -> Column:
     x, y = col(a), col(b)
     u = F.size(F.array_union(x, y))
-    return F.when(u == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / u)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), u), F.lit(0.0))
 
 
 def name_raise(a, b, least: float = 0.5) -> Column:
@@ -257,7 +257,7 @@ def dot(a, b) -> Column:
 def cosine(a, b) -> Column:
     """Null where a vector is null or zero."""
     n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(n > 0, dot(a, b) / n)
+    return F.try_divide(dot(a, b), n)
 
 
 # ---- identities and formats

@@ -60,7 +60,7 @@ def profile_fields(df: DataFrame, fields: list[str]) -> DataFrame:
             .when((n >= 4) & (d <= F.greatest(F.lit(2), F.round(F.sqrt(n)))) & (d <= 40) & (d < n), "select")
             .when(F.col(f"l{i}") > 140, "longtext").otherwise("text")
         )
-        out.append(F.struct(F.lit(f).alias("field"), n.alias("filled"), d.alias("n_distinct"), F.round(n / F.col("rows"), 6).alias("coverage"), F.round(F.col(f"l{i}"), 4).alias("mean_length"), kind.alias("kind")))
+        out.append(F.struct(F.lit(f).alias("field"), n.alias("filled"), d.alias("n_distinct"), F.round(F.try_divide(n, F.col("rows")), 6).alias("coverage"), F.round(F.col(f"l{i}"), 4).alias("mean_length"), kind.alias("kind")))
     return one.select(F.explode(F.array(*out)).alias("x")).select("x.*")
 
 

@@ -167,7 +167,7 @@ def statement_spans(text: str | None) -> list[tuple[int, int]]:
     for m in re.finditer(r"[^\n]+", text or ""):
         line, at = m[0], 0
         for e in re.finditer(r"[.!?][\"'”’)\]]*(?=\s+[\"'“‘(\[]?[A-Z0-9])", line):
-            word = re.search(r"([\w.]+)[.!?]", line[: e.start() + 1])
+            word = re.search(r"([\w.]+)[.!?]$", line[: e.start() + 1])
             last = word[1].lower().split(".")[-1] if word else ""
             if line[e.start()] == "." and (last in ABBREVIATIONS or len(last) == 1 and last.isalpha()):
                 continue
@@ -217,7 +217,8 @@ def figures_in(t: str) -> list[tuple[str, float, str, int, int]]:
             continue
         else:
             name = re.sub(r"s$", "", unit)
-        out.append((m[0].strip(), num * TIMES.get(mult, 1.0), name, m.start(), m.end()))
+        end = m.start(4) if unit in NO_UNIT and unit else m.end()
+        out.append((t[m.start() : end].strip(), num * TIMES.get(mult, 1.0), name, m.start(), m.start() + len(t[m.start() : end].rstrip())))
     return out
 
 

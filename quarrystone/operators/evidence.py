@@ -80,7 +80,7 @@ def relevance(counts: DataFrame, bg: DataFrame, doc: str = "doc", stem: str = "s
 def good_turing(mentions: DataFrame, item: str, doc: str) -> DataFrame:
     """(n, f1, unseen): sources, items that only one has, and the items one more source would be expected to bring."""
     support = mentions.select(item, doc).distinct().groupBy(item).agg(F.count("*").alias("s"))
-    return support.agg(F.count_if(F.col("s") == 1).alias("f1")).crossJoin(mentions.agg(F.count_distinct(doc).alias("n"))).select("n", "f1", (F.col("f1") / F.col("n")).alias("unseen"))
+    return support.agg(F.count_if(F.col("s") == 1).alias("f1")).crossJoin(mentions.agg(F.count_distinct(doc).alias("n"))).select("n", "f1", F.try_divide(F.col("f1"), F.col("n")).alias("unseen"))
 
 
 def saturation(mentions: DataFrame, item: str, doc: str) -> DataFrame:
@@ -159,7 +159,7 @@ def permutation_rate(df: DataFrame, key: str, left: str, right: str, draws: int
     # one row per value: for each draw a value's agreements are Poisson at l r / n, the limit of the matching's count.
     n = df.agg(F.count("*").alias("n"))
     c = df.groupBy(F.col(left).alias("v")).agg(F.count("*").alias("l")).join(df.groupBy(F.col(right).alias("v")).agg(F.count("*").alias("r")), "v")
-    lam = c.crossJoin(n).agg(F.coalesce(F.sum(F.col("l") * F.col("r") / F.col("n")), F.lit(0.0)).alias("lam"), F.max("n").alias("n"))
+    lam = c.crossJoin(n).agg(F.coalesce(F.sum(F.try_divide(F.col("l") * F.col("r"), F.col("n"))), F.lit(0.0)).alias("lam"), F.max("n").alias("n"))
 
     def run(frames):
         for f in frames:

@@ -70,7 +70,7 @@ def interpolate(df: DataFrame, by: list[str], order: list[str], value: str, weig
     x = df.withColumn("__c", F.sum(weight).over(back) - F.col(weight))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("__c").alias("c")))
     x = x.withColumn("__p", F.last(known, ignorenulls=True).over(back)).withColumn("__n", F.first(known, ignorenulls=True).over(ahead))
-    share = (F.col("__c") - F.col("__p.c")) / F.nullif(F.col("__n.c") - F.col("__p.c"), F.lit(0.0))
+    share = F.try_divide(F.col("__c") - F.col("__p.c"), F.col("__n.c") - F.col("__p.c"))
     out = F.coalesce(F.col(value), F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * share, F.col("__p.v"), F.col("__n.v"))
     return x.withColumn(name, out).drop("__c", "__p", "__n")
 
@@ -114,7 +114,7 @@ def first_seen(df: DataFrame, by: list[str], order: list[str], key: list[str]) -
 def revisions(df: DataFrame, by: list[str], order: list[str], value: str, least: float = 0.005) -> DataFrame:
     """Rows whose figure differs from the one before it of the same measure by 0.5 % or more: before, and the log2 ratio."""
     x = df.withColumn("before", F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
-    return x.filter((F.col("before") != 0) & (F.abs(F.col(value) / F.col("before") - 1) >= least)).withColumn("log_ratio", F.log2(F.abs(F.col(value) / F.col("before"))))
+    return x.filter((F.col("before") != 0) & (F.abs(F.try_divide(F.col(value), F.col("before")) - 1) >= least)).withColumn("log_ratio", F.log2(F.abs(F.try_divide(F.col(value), F.col("before")))))
 
 
 def sliding_sets(df: DataFrame, by: list[str], order: list[str], items: str, reach: int = 25) -> DataFrame:

@@ -179,7 +179,7 @@ def near_spellings(names: DataFrame, name: str, least: int = 4) -> DataFrame:
 def echo_cosine(items: DataFrame, least: float) -> DataFrame:
     """(a, b, cosine) of sparse vectors (id, doc, term, w) of different documents."""
     norm = items.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    u = items.join(norm, "id").select("id", "doc", "term", (F.col("w") / F.col("norm")).alias("u"))
+    u = items.join(norm, "id").select("id", "doc", "term", F.try_divide(F.col("w"), F.col("norm")).alias("u"))
     x, y = u.alias("x"), u.alias("y")
     s = x.join(y, "term").filter("x.id < y.id and x.doc <> y.doc").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum(F.col("x.u") * F.col("y.u")).alias("cosine"))
     return s.filter(F.col("cosine") >= least)

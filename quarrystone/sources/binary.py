@@ -28,7 +28,7 @@ def sniff(content: Column) -> Column:
     """The kind of a file by its first bytes, never its name; text if they are printable, else unknown."""
     h = F.hex(F.substring(content, 1, 16))
     body = F.hex(F.substring(content, 1, 64))
-    out = F.when(h == "", "empty").when(body.rlike("^(?:(?:09|0A|0D|[2-7][0-9A-E]|[8-F][0-9A-F]))*$"), "text").otherwise("unknown")
+    out = F.when(h == "", "empty").when(body.rlike("^(?:(?:09|0A|0D|[2-6][0-9A-F]|7[0-9A-E]|[89A-F][0-9A-F]))*$"), "text").otherwise("unknown")
     for sign, kind in reversed(MAGIC):
         out = F.when(h.startswith(sign), kind).otherwise(out)
     out = F.when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57415645"), "wav").otherwise(out)

@@ -14,8 +14,9 @@ from quarrystone.functions.scalars import text_of
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, broken): JSON lines, plain or compressed (.gz, .zst by suffix); a line that is no JSON is kept as text, with why."""
-    raw = spark.read.schema(f"{schema}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return raw.filter("_broken is null").drop("_broken"), raw.filter("_broken is not null").select(F.col("_broken").alias("line"), F.lit("not JSON").alias("why"))
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    ok = F.expr("try_parse_json(value)").isNotNull()
+    return raw.filter(ok).select(F.from_json("value", schema).alias("x")).select("x.*"), raw.filter(~ok).select(F.col("value").alias("line"), F.lit("not JSON").alias("why"))
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
