@@ -36,6 +36,7 @@ SAID_IN_LIST, SEPARATORS = 0.15, 0.2
 
 NEWLINE = r"(?:\r\n?|[\n\x85\u2028\u2029])"
 PARAGRAPH = re.compile(NEWLINE + r"[^\S\n\r]*(?:" + NEWLINE + r"[^\S\n\r]*)+")
+PLAIN = re.compile(r"\n[ \t\x0b\f]*(?:\n[ \t\x0b\f]*)+")
 CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 END = re.compile(r"(?:[.!?؟]+[\"'”’)\]]*(?=\s|$)|[。！？]+)")
 RUN = re.compile(r"(\W)\1{3,}")
@@ -43,6 +44,7 @@ LINKS = re.compile(
     r"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>|(?:[^\s|,;>]+ ){0,3}- (?=https?://)|(?:https?://|www\.)\S+(?:\s+\([^)\n]*\))?"
     r"|#\w+|\btags?:\S+|\bSKU \d+(?: [^\W\d]+){0,3}(?: \d+\w*)?|[^\W\d]+(?: [^\W\d]+)? \(\d+\)|(?:[^\s>|,;]+ ){1,3}> |<br>"
 )
+LISTING = re.compile(r"://|www\.|[#<>(]|\btags?:|\bSKU ")
 # Frequent function words by language, to tell languages of one script apart.
 FUNCTION_WORDS = {
     "en": {"the", "of", "and", "to", "in", "that", "is", "for", "was", "with"},
@@ -73,23 +75,27 @@ def language(text: str, words: set[str]) -> str:
 
 def block_features(block: str) -> tuple | None:
     """(language, length class, ratio, words, real sentence ends per word, share listed, share said again, separators)."""
-    flat = RUN.sub(r"\1\1\1", block)
-    raw = flat.split()
-    cjk = 0 if flat.isascii() else len(CJK.findall(flat))
+    raw = block.split()
+    cjk = 0 if block.isascii() else len(CJK.findall(block))
     n = len(raw) + cjk // 2
     if not n:
         return None
     if n < 6:
         return ("", 0, None, n, 0.0, 0.0, 0.0, 0.0)
-    words = [w.strip(STRIP) for w in flat.lower().split()]
-    distinct = set(words)
+    flat, lower = block, block.lower().split()
+    distinct = set(lower)
     lang = language(flat, distinct)
     data = flat.encode("utf-8", "replace")
     ratio = len(zlib.compress(data, 6)) / len(data)
+    if ratio < 0.6 and (short := RUN.sub(r"\1\1\1", flat)) != flat:
+        flat = short  # a long run of one sign is no redundancy of words
+        data = flat.encode("utf-8", "replace")
+        ratio = len(zlib.compress(data, 6)) / len(data)
     size = int(math.log2(len(data)) * 2)
     ends = len(END.findall(flat))
-    if len(distinct) > 0.5 * len(words) and ends > 0.03 * n and not cjk:
+    if len(distinct) > 0.5 * len(lower) and ends > 0.03 * n and not cjk:
         return (lang, size, ratio, n, ends / n, 0.0, 0.0, 0.0)  # most words differ and sentences end: plain prose
+    words = [w.strip(STRIP) for w in flat.lower().split()]
     body = [w.rstrip("s") for w in words if len(w) > 2 and w.isalpha()]
     pairs = Counter(zip(body, body[1:]))
     again = last = 0
@@ -116,7 +122,9 @@ def block_features(block: str) -> tuple | None:
         ws = unit.lower().split()
         if len(ws) >= 5 and not (key and sum(w.strip(STRIP).rstrip("s") in key for w in ws) / len(ws) > 0.22):
             real += 1
-    listed = sum(m.end() - m.start() for m in LINKS.finditer(flat)) / len(flat)
+    if real / n > SENTENCES:
+        return (lang, size, ratio, n, real / n, 0.0, 0.0, 0.0)  # sentences of their own: whatever else stands there, it is no list
+    listed = sum(m.end() - m.start() for m in LINKS.finditer(flat)) / len(flat) if LISTING.search(flat) else 0.0
     return (lang, size, ratio, n, real / n, listed, again / max(1, len(words)), len(SEPARATOR.findall(flat)) / n)
 
 
@@ -124,7 +132,7 @@ def blocks_of(text: str) -> list[str]:
     """Paragraphs; short ones without a sentence that follow each other (a list with blank lines) are one block."""
     out: list[str] = []
     short = False
-    for p in PARAGRAPH.split(text):
+    for p in (PLAIN if text.isascii() and "\r" not in text else PARAGRAPH).split(text):
         if not p or p.isspace():
             continue
         now = len(p) < 120 and len(p.split()) < 12 and not END.search(p)
