@@ -28,6 +28,7 @@ def nest_by_ties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def depths(forest: DataFrame, most: int = 64) -> DataFrame:
     """(node, root, depth) of a forest (node, parent), by doubling: each round doubles the reach, so depth d takes log2 d
     rounds. A node whose ancestors run in a circle is not returned."""
+    forest = cut(forest.select("node", "parent"), "forest")
     x = cut(forest.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "depths")
     k = 1
     while k < most:

@@ -85,7 +85,8 @@ def shingle_jaccard(df: DataFrame, key: str, text: str, least: float = 0.8, n: i
 
     # The words are a column of their own first: within the shingles' lambda they would be split anew for every shingle.
     w = F.col("w")
-    df = df.select(key, words(text).alias("w"))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    df = df.select(key, F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ")).alias("w"))
     sh = F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(n)), " "))))).otherwise(F.array().cast("array<bigint>"))
     docs = df.select(F.col(key).alias("k"), F.md5(F.array_join(w, " ")).alias("m"), sh.alias("sh"))
     reps = docs.groupBy("m").agg(F.min("k").alias("rep"), F.first("sh").alias("sh"))
