@@ -331,3 +331,60 @@ def over_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame([(k, *x) for k, t in zip(f["k"], f["t"]) for x in token_spans(t)], columns=["k", "token", "class", "s", "e"])
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {dict(df.dtypes)[key]}, token string, class string, s int, e int").withColumnRenamed("k", key)
+
+
+def referent_of(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, key): the referent a value (id, text) is about: of the vocabulary's terms (term, key, priority) that its text holds
+    the one of least priority number; ties to the smaller key. The vocabulary comes from a question and its synonyms, so it is
+    joined on words, not broadcast by hint."""
+    w = values.select("id", F.explode(F.array_distinct(F.regexp_extract_all(fold("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+    return w.join(vocabulary, "term").groupBy("id").agg(F.min(F.struct("priority", "key"))["key"].alias("key"))
+
+
+def findings(pairs: DataFrame) -> DataFrame:
+    """pairs with a finding: what two statements come to by their verdict, their polarity and the terms they share."""
+    f = (
+        F.when(F.col("verdict") == "differs", "differs")
+        .when(F.col("neg_a") != F.col("neg_b"), "one denies")
+        .when(F.col("verdict") == "same", "says the same")
+        .when(F.size("shared") >= 2, F.concat(F.lit("both on "), F.array_join(F.slice(F.array_sort("shared"), 1, 4), ", ")))
+        .otherwise("apart")
+    )
+    return pairs.withColumn("finding", f)
+
+
+def gist_by_genre(degrees: DataFrame, prior: DataFrame, most: int) -> DataFrame:
+    """(doc, name, degree): a source's names by degree without those its genre is full of anyway. degrees (doc, genre, name,
+    degree), prior (genre, name)."""
+    own = degrees.join(prior.select("genre", "name").distinct(), ["genre", "name"], "left_anti")
+    w = Window.partitionBy("doc").orderBy(F.desc("degree"), "name")
+    return own.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select("doc", "name", "degree")
+
+
+def code_length(tokens: list[str], counts: dict | None = None) -> float:
+    """Bits an adaptive code needs for tokens, after what counts have seen."""
+    seen = dict(counts or {})
+    total, kinds, bits = sum(seen.values()), len(seen), 0.0
+    for t in tokens:
+        bits -= float(np.log2((seen.get(t, 0) + 1) / (total + kinds + 1)))
+        kinds += t not in seen
+        seen[t] = seen.get(t, 0) + 1
+        total += 1
+    return bits
+
+
+def structure_gain(tokens: list[str], cuts: list[int], draws: int = 40, seed: int = 1) -> list[tuple[int, float, bool]]:
+    """(cut, bits, clears): the bits that a fresh start at each cut saves, and whether more than at any random place."""
+
+    def gain(c: int) -> float:
+        left, right = tokens[:c], tokens[c:]
+        counts: dict = {}
+        for t in left:
+            counts[t] = counts.get(t, 0) + 1
+        return code_length(right, counts) - code_length(right)
+
+    if len(tokens) < 4:
+        return [(c, 0.0, False) for c in cuts]
+    rng = np.random.default_rng(seed)
+    others = [gain(int(c)) for c in rng.integers(1, len(tokens), draws) if int(c) not in set(cuts)]
+    return [(c, gain(c), bool(gain(c) > max(others, default=0.0))) for c in cuts]
