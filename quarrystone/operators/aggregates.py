@@ -19,8 +19,8 @@ def pivot_totals(df: DataFrame, rows: Column, cols: Column, measure: Column) ->
 def pivot_page(df: DataFrame, rows: Column, cols: Column, measure: Column, most_rows: int = 300, most_cols: int = 24) -> tuple[DataFrame, DataFrame]:
     """The pivot cut to the largest rows and columns, and a one-row table that says whether anything was cut."""
     p = pivot_totals(df, rows, cols, measure)
-    rank = lambda lvl, k: p.filter(F.col("level") == lvl).withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("value"), k))).filter(F.col("__n") <= (most_rows if k == "r" else most_cols)).select(k, F.lit(True).alias(f"__{k}"))
-    top_r, top_c = rank(1, "r"), rank(2, "c")
+    top = lambda lvl, k, most: p.filter(F.col("level") == lvl).orderBy(F.desc_nulls_last("value"), k).limit(most).select(k, F.lit(True).alias(f"__{k}"))
+    top_r, top_c = top(1, "r", most_rows), top(2, "c", most_cols)
     cells = p.join(top_r, p.r.eqNullSafe(top_r.r), "left").drop(top_r.r).join(top_c, p.c.eqNullSafe(top_c.c), "left").drop(top_c.c)
     keep = cells.filter((F.col("level").isin(2, 3) | F.col("__r")) & (F.col("level").isin(1, 3) | F.col("__c"))).drop("__r", "__c")
     flags = p.agg((F.count_if(F.col("level") == 1) > most_rows).alias("rows_cut"), (F.count_if(F.col("level") == 2) > most_cols).alias("cols_cut"))

@@ -4,6 +4,7 @@ hashes of seed, key and number, so results don't hang on partitions."""
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -68,7 +69,7 @@ def relevance(counts: DataFrame, bg: DataFrame, doc: str = "doc", stem: str = "s
                 have = dict(c) if c is not None else {}
                 x, e = np.array([have.get(s, 0.0) for s in names]), n * ps
                 g = float(np.where(x > e, 2 * (x * np.log(np.maximum(x, 1e-300) / e) - (x - e)), 0).sum())
-                rng = np.random.default_rng([seed, abs(hash(str(k))) % (1 << 31) if not isinstance(k, (int, np.integer)) else int(k) % (1 << 31)])
+                rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
                 z = rng.poisson(e, size=(draws, len(e))).astype(float)
                 null = np.where(z > e, 2 * (z * np.log(np.maximum(z, 1e-300) / e) - (z - e)), 0).sum(1).max()
                 rows.append((k, g, float(null), bool(g > null)))
@@ -120,7 +121,8 @@ def binomial_tail(k: Column, n: Column) -> Column:
 
 
 def holm(tests: DataFrame, p: str = "p", key: str = "id", alpha: float = 0.05) -> DataFrame:
-    """Tests with kept: Holm's step-down at alpha; once one fails all larger p fail."""
+    """Tests with kept: Holm's step-down at alpha; once one fails all larger p fail. Tests are kinds of breaks times signals, so
+    one order over all of them is short."""
     w = Window.partitionBy(F.lit(0)).orderBy(p, key)
     m = F.count("*").over(Window.partitionBy(F.lit(0)))
     x = tests.withColumn("__ok", F.col(p) <= alpha / (m - F.row_number().over(w) + 1))
@@ -175,9 +177,8 @@ def companions(vectors: DataFrame, key: str, vector: str, one, pairs: int = 2000
     from quarrystone.functions.scalars import cosine
 
     v = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    n = v.count()
-    ranked = v.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(draw(F.lit(seed), "k"), "k")))
-    small = ranked.filter(F.col("i") <= min(n, 2 * pairs))
+    few = v.orderBy(draw(F.lit(seed), "k"), "k").limit(2 * pairs)
+    small = few.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(draw(F.lit(seed), "k"), "k")))
     a, b = small.filter("i % 2 = 1").select(F.col("i").alias("j"), F.col("v").alias("va")), small.filter("i % 2 = 0").select((F.col("i") - 1).alias("j"), F.col("v").alias("vb"))
     bar = a.join(b, "j").agg(F.percentile_approx(cosine("va", "vb"), 0.95, 10000).alias("bar"))
     me = v.filter(F.col("k") == one).select(F.col("v").alias("me"))

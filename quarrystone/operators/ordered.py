@@ -142,15 +142,26 @@ def cumulative_draws(items: DataFrame, key: str, weight: str, draws: int, seed:
     that begins at or before its number, found in one order of keys and draws."""
     from quarrystone.functions.scalars import draw
 
-    by = list(by)
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(key)
-    c = items.withColumn("__at", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight))
-    total = items.groupBy(*by).agg(F.sum(weight).alias("__total"))
-    d = total.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    d = d.withColumn("__at", draw(F.lit(seed), *[F.col(b) for b in by], F.col("draw")) * F.col("__total"))
-    both = c.select(*by, "__at", F.col(key), F.lit(None).cast("int").alias("draw")).unionByName(d.select(*by, "__at", F.lit(None).cast(dict(items.dtypes)[key]).alias(key), "draw"))
-    o = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(key, F.last(key, ignorenulls=True).over(o)).filter("draw is not null").select(*by, "draw", key)
+    by, slots = list(by), 512
+    kind = dict(items.dtypes)[key]
+    # Any fixed order of keys will do: slots by hash, keys within them, so no order runs over all keys in one task. The totals
+    # of slots, 512 a group, say where each begins.
+    x = items.select(*by, key, F.col(weight).cast("double").alias("w"), F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("slot"))
+    o = Window.partitionBy(*by, "slot").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("__at", F.sum("w").over(o) - F.col("w"))
+    t = x.groupBy(*by, "slot").agg(F.sum("w").alias("sw"))
+    g = Window.partitionBy(*(by or [F.lit(0)])).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("lo", F.sum("sw").over(g) - F.col("sw")).withColumn("total", F.sum("sw").over(Window.partitionBy(*(by or [F.lit(0)]))))
+    d = t.select(*by, "total").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    d = d.withColumn("u", draw(F.lit(seed), *[F.col(b) for b in by], F.col("draw")) * F.col("total")).drop("total")
+    # Each draw finds its slot in one order of slots and draws, and its key in one order of keys and draws within the slot.
+    both = t.select(*by, F.col("lo").alias("u"), "slot", "lo", F.lit(None).cast("int").alias("draw")).unionByName(d.select(*by, "u", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("double").alias("lo"), "draw"))
+    f = Window.partitionBy(*(by or [F.lit(0)])).orderBy("u", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("slot", F.last("slot", ignorenulls=True).over(f)).withColumn("lo", F.last("lo", ignorenulls=True).over(f)).filter("draw is not null")
+    within = placed.select(*by, "slot", (F.col("u") - F.col("lo")).alias("__at"), F.lit(None).cast(kind).alias(key), "draw")
+    keys = x.select(*by, "slot", "__at", key, F.lit(None).cast("int").alias("draw"))
+    o2 = Window.partitionBy(*by, "slot").orderBy("__at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return keys.unionByName(within).withColumn(key, F.last(key, ignorenulls=True).over(o2)).filter("draw is not null").select(*by, "draw", key)
 
 
 def surprise(frames):

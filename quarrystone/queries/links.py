@@ -11,6 +11,7 @@ from quarrystone.operators import links as lk
 from quarrystone.operators import oplog as ol
 from quarrystone.operators import pairs as pr
 from quarrystone.operators import search as se
+from quarrystone.operators import vectors as vc
 from quarrystone.queries.registry import query
 from quarrystone.queries.statistics import PAIRS, shared_tokens
 
@@ -213,9 +214,7 @@ def merge_devices(t):
 def span_recall(t):
     """Whether the passage that answers is among the first ten."""
     e = t.embeddings
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    w = Window.partitionBy("query").orderBy(F.desc(sc.cosine("embedding", "qv")), "vec_id")
-    h = e.join(q, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("key"), F.row_number().over(w).alias("rank"))
+    h = vc.search(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
     return se.span_recall(h, h.filter("rank = 5").select("query", "key"), 10)
 
 

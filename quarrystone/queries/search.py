@@ -1,10 +1,10 @@
 """Text search over observations, chunks and documents."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import scalars as sc
 from quarrystone.operators import search as se
+from quarrystone.operators import vectors as vc
 from quarrystone.queries.registry import query
 
 TOK = "regexp_extract_all(lower(coalesce({0},'')),'[\\p{{L}}\\p{{N}}_]+')"
@@ -90,13 +90,13 @@ def cosine_topk(t):
 
 @query("""WITH c AS (SELECT q.vec_id AS query, e.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding,e.embedding) DESC, e.vec_id) AS rank, q.label AS ql, e.label AS el FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id % 100 = 0) SELECT query, count(*) AS k, count(*) FILTER (ql=el) AS same FROM c WHERE rank<=10 GROUP BY 1""")
 def query_neighbours(t):
-    """Searches: every vector whose id is divisible by 100 against all, with how many of the ten nearest share its label.
-    The query set is stated and small, so it is sent to the rows in one exchange, not the rows to each other."""
+    """Searches: every vector whose id is divisible by 100 against all, in blocks, with how many of the ten nearest share its
+    label."""
     e = t.embeddings
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    s = e.join(q, F.col("vec_id") != F.col("query")).select("query", "vec_id", "label", "ql", sc.cosine("embedding", "qv").alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("r", F.row_number().over(w)).filter("r <= 10").groupBy("query").agg(F.count("*").alias("k"), F.count_if(F.col("label") == F.col("ql")).alias("same"))
+    hits = vc.search(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    lab = e.select("vec_id", "label")
+    j = hits.join(lab.select(F.col("vec_id").alias("query"), F.col("label").alias("ql")), "query").join(lab.select(F.col("vec_id").alias("key"), "label"), "key")
+    return j.groupBy("query").agg(F.count("*").alias("k"), F.count_if(F.col("label") == F.col("ql")).alias("same"))
 
 
 @query()

@@ -410,3 +410,39 @@ def test_alignment_of_what_was_heard():
 def test_cuts_only_where_words_shift():
     two = ["apple pear plum fruit orchard"] * 5 + ["engine wheel brake motor gears"] * 5
     assert al.paragraph_cuts(two) == [5] and al.paragraph_cuts(two[:5]) == []
+
+
+def test_sorts_by_expiry(spark, small):
+    from quarrystone.queries import QUERIES
+
+    got = [r.expires or "" for r in QUERIES["named_sorts"](spark, small).collect()]
+    assert got == sorted(got, key=lambda x: (x[-4:], x), reverse=True)
+
+
+def test_blocked_vectors_against_all_pairs(spark):
+    import numpy as np
+
+    from quarrystone.operators import vectors as vc
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = [(i, v[i].tolist()) for i in range(300)] + [(900, None), (901, []), (902, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    n = np.linalg.norm(v, axis=1)
+    want = []
+    for q in range(0, 300, 50):
+        if n[q]:
+            s = [(-round(float(v[q] @ v[i] / n[q] / n[i]), 12), i) for i in range(300) if i != q and n[i]]
+            want += [(q, i, r) for r, (_, i) in enumerate(sorted(s)[:7], 1)]
+    got = rows_of(vc.search(df.repartition(5), df.filter("id % 50 = 0"), "id", "v", 7).select("query", "key", "rank"))
+    assert got == sorted(want)
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_draws_follow_weights(spark):
+    d = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 0.0)], "k string, w double")
+    got = [r.k for r in od.cumulative_draws(d, "k", "w", 2000, 1).collect()]
+    assert len(got) == 2000 and abs(got.count("b") / 2000 - 0.75) < 0.04 and "c" not in got
