@@ -239,7 +239,7 @@ def markdown_transcript(raw: str | None) -> list[tuple[float | None, str]]:
     """The same of Markdown: headings, emphasis, links, lists and fences are undone first."""
     t = re.sub(r"(?m)^```.*$", "", raw or "")
     t = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", t)
-    t = re.sub(r"(?m)^\s*(?:#{1,6}|[-*+]|>|\d+\.)\s+", "", t)
+    t = re.sub(r"(?m)^[ \t]*(?:#{1,6}|[-*+]|>|\d+\.)[ \t]+", "", t)
     return transcript(re.sub(r"(\*\*|__|\*|_|`)(?=\S)(.+?)(?<=\S)\1", r"\2", t))
 
 
