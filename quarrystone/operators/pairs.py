@@ -6,11 +6,12 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.scalars import bag, draw, words
 from quarrystone.operators.joins import mutual_best
+from quarrystone.session import cut
 
 
 def token_table(sts: DataFrame, key: str = "id", doc: str = "doc", text: str = "text", with_pairs: bool = True) -> DataFrame:
@@ -29,8 +30,10 @@ def blocked_tokens(tokens: DataFrame) -> DataFrame:
     """tokens + idf of those that stand in 2 to max(2, ceil(sqrt N)) statements: the only ones pairs are formed through. A
     token's pairs are then at most N, so skewed words cost nothing."""
     n = tokens.agg(F.count_distinct("id").alias("n"))
-    rare = idf_bits(tokens).crossJoin(F.broadcast(n)).filter((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2), F.ceil(F.sqrt("n")))))
-    return tokens.join(rare.select("token", "idf"), "token")
+    t = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).crossJoin(F.broadcast(n))
+    rare = t.filter((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2), F.ceil(F.sqrt("n")))))
+    # Written once: both sides of every pair join read this small table, not the texts.
+    return cut(rare.select(*tokens.columns, F.log2((F.col("n") + 1) / F.col("df")).alias("idf")), "blocked")
 
 
 def pair_scores(blocked: DataFrame) -> DataFrame:
@@ -81,7 +84,6 @@ def shingle_jaccard(df: DataFrame, key: str, text: str, least: float = 0.8, n: i
     One row per document: its class (the smallest document of its component) and the number of differing texts it is linked
     to; texts of fewer than n words are classes of their own copies."""
     from quarrystone.operators.graph import components
-    from quarrystone.session import cut
 
     # The words are a column of their own first: within the shingles' lambda they would be split anew for every shingle.
     w = F.col("w")
