@@ -82,6 +82,7 @@ def sized(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
 
 def mix(tokens: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the documents used at least once."""
+    tokens = tokens.select("doc_id", "source", "n_tokens")
     p = plan(tokens, targets).select("source", "copies", "docs")
     rows = tokens.filter("n_tokens > 0").join(F.broadcast(p.filter("copies > 0")), "source")
     whole = F.floor(F.col("copies") + 1e-9).cast("int")

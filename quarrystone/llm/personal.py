@@ -66,7 +66,7 @@ GLYPH = str.maketrans("1!|05", "lilos")
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 LOCAL = r"[\w.+%'\-]*\w"
 EMAIL = re.compile(
-    rf"(?<![\w.+\-]){LOCAL}(?:@ ?| @ | ?[\[(] ?at ?[\])] ?){LABEL}(?:(?:\.| ?[\[(] ?dot ?[\])] ?){LABEL})*(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z]{{2,}}", re.I
+    rf"(?<![\w.+%'\-]){LOCAL}(?:@ ?| @ | ?[\[(] ?at ?[\])] ?){LABEL}(?:(?:\.| ?[\[(] ?dot ?[\])] ?){LABEL})*(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z]{{2,}}", re.I
 )
 PHONE = re.compile(
     r"(?<![\w$#.\-/@+(])(?:"
@@ -82,7 +82,7 @@ NUMBERED = re.compile(
 )
 ABROAD = re.compile(
     r"\b(?:(?:Calle|Avenida|Rue|Via|Viale|Rua|Piazza|Plaza|Am|An der|Im|Zum|Zur|Boulevard|Place)(?: (?:de|del|du|des|la|le|los|las|di|da|dos|der|l'))* [A-ZÀ-Þ][\w'’\-]+"
-    r"|[A-ZÄÖÜ][\wäöüß\-]+(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee|ufer|damm|ring|laan|straat))(?: [A-ZÀ-Þ][\w'’\-]+)? \d{1,4}[a-z]?(?=, \d{4,5}\b|\b)"
+    r"|[A-ZÄÖÜ][\wäöüß\-]{1,40}(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee|ufer|damm|ring|laan|straat))(?: [A-ZÀ-Þ][\w'’\-]+)? \d{1,4}[a-z]?(?=, \d{4,5}\b|\b)"
 )
 #: A digit misread as a letter inside a number.
 MISREAD_DIGIT = re.compile(r"(?<=[\d\-. ()])[lIO|!oSBZb](?=[\d\-])|(?<=\d)[lIO|!oSBZb](?![\w])")
@@ -228,7 +228,7 @@ def names(t: str) -> list[tuple[float, str, int, int]]:
                 i += 1
                 continue
             last = surname_from(k) if plain(tok[k][2]) in GIVEN_KEYS or len(tok[k][2]) == 1 else -1
-            if last < 0 and surname_like(tok[k][2]) and k + 1 < n and gap(k) == " " and surname_like(tok[k + 1][2]) and re.match(r"[,;.(]|$", t[tok[k + 1][1] :].lstrip()[:1]):
+            if last < 0 and surname_like(tok[k][2]) and k + 1 < n and gap(k) == " " and surname_like(tok[k + 1][2]) and re.match(r"\s*(?:[,;.(]|$)", t[tok[k + 1][1] : tok[k + 1][1] + 4]):
                 last = k + 1
             if last < 0 and k + 1 < n and gap(k).strip() == "," and plain(tok[k + 1][2]) in GIVEN_KEYS:
                 last = k + 1
@@ -282,39 +282,52 @@ def names(t: str) -> list[tuple[float, str, int, int]]:
     return out
 
 
+def blanked(t: str, spans: list[tuple[float, str, int, int]]) -> str:
+    """The text with blanks for spans."""
+    if not spans:
+        return t
+    out, at = [], 0
+    for s, e in sorted((s, e) for _, _, s, e in spans):
+        s = max(s, at)
+        if e > s:
+            out += [t[at:s], " " * (e - s)]
+            at = e
+    return "".join(out) + t[at:]
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the accepted spans, in order."""
     if not text or text.isspace():
         return []
     gone, t = [], text
     if "\n" in text:
-        parts, at = [], 0
+        parts, at, lost = [], 0, 0
         for m in CUT.finditer(text):
             parts.append(text[at : m.start()])
-            gone.append((m.start() - sum(n for _, n in gone), m.end() - m.start()))
+            gone.append((m.start() - lost, m.end() - m.start()))
+            lost += m.end() - m.start()
             at = m.end()
         t = "".join(parts) + text[at:] if parts else text
     t = t.translate(SPACE)
     got = []
     if "@" in t or "at)" in t or "at]" in t or "AT)" in t:
         got += [(1.0, "email", m.start(), m.end()) for m in EMAIL.finditer(t)]
-    masked = t
-    for _, _, s, e in got:
-        masked = masked[:s] + " " * (e - s) + masked[e:]
+    masked = blanked(t, got)
     if any(c.isdigit() for c in masked):
         read = MISREAD_DIGIT.sub(lambda m: m[0].translate(DIGIT), masked)
         found = [x for x in numbers(read) if x[0] >= ACCEPT]
         got += found
         found = [x for x in addresses(masked) if x[0] >= ACCEPT]
         got += found
-        for _, _, s, e in found:
-            masked = masked[:s] + " " * (e - s) + masked[e:]
+        masked = blanked(masked, found)
     got += [x for x in names(masked) if x[0] >= ACCEPT]
     got.sort(key=lambda x: (KINDS.index(x[1]), -x[0], x[2]))
-    taken: list[tuple[str, int, int]] = []
+    held: list[tuple[int, int, str]] = []  # in order, free of overlaps
     for _, kind, s, e in got:
-        if all(e <= a or s >= b for _, a, b in taken):
-            taken.append((kind, s, e))
+        i = bisect_right(held, (s, len(t) + 1, ""))
+        if (not i or held[i - 1][1] <= s) and (i == len(held) or held[i][0] >= e):
+            held.insert(i, (s, e, kind))
+    taken = [(k, s, e) for s, e, k in held]
     if gone:
         at = [p for p, _ in gone]
         add = [0]

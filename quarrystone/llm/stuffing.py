@@ -38,11 +38,11 @@ NEWLINE = r"(?:\r\n?|[\n\x85\u2028\u2029])"
 PARAGRAPH = re.compile(NEWLINE + r"[^\S\n\r]*(?:" + NEWLINE + r"[^\S\n\r]*)+")
 PLAIN = re.compile(r"\n[ \t\x0b\f]*(?:\n[ \t\x0b\f]*)+")
 CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
-END = re.compile(r"(?:[.!?؟]+[\"'”’)\]]*(?=\s|$)|[。！？]+)")
+END = re.compile(r"(?:(?<![.!?؟])[.!?؟]++[\"'”’)\]]*+(?=\s|$)|[。！？]+)")
 RUN = re.compile(r"(\W)\1{3,}")
 LINKS = re.compile(
-    r"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>|(?:[^\s|,;>]+ ){0,3}- (?=https?://)|(?:https?://|www\.)\S+(?:\s+\([^)\n]*\))?"
-    r"|#\w+|\btags?:\S+|\bSKU \d+(?: [^\W\d]+){0,3}(?: \d+\w*)?|[^\W\d]+(?: [^\W\d]+)? \(\d+\)|(?:[^\s>|,;]+ ){1,3}> |<br>"
+    r"\[[^\]\n]{0,300}\]\([^)\s]{0,2000}\)|<a\s[^>]{0,2000}>[^<]{0,300}</a>|(?<!\S)(?:[^\s|,;>]+ ){0,3}- (?=https?://)|(?:https?://|www\.)\S+(?:\s+\([^)\n]{0,300}\))?"
+    r"|#\w+|\btags?:\S+|\bSKU \d+(?: [^\W\d]+){0,3}(?: \d+\w*)?|\b[^\W\d]++(?: [^\W\d]++)? \(\d+\)|(?<!\S)(?:[^\s>|,;]++ ){1,3}> |<br>"
 )
 LISTING = re.compile(r"://|www\.|[#<>(]|\btags?:|\bSKU ")
 # Frequent function words by language, to tell languages of one script apart.

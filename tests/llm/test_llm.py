@@ -281,3 +281,48 @@ def test_sql_agrees(spark, small):
         c.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     for name, sql in SQL.items():
         assert sorted(map(tuple, QUERIES[name](spark, small).collect())) == sorted(c.execute(sql).fetchall())
+
+
+# ---- very long texts, runs and empty tables
+
+
+LONG = {
+    "letters": "A" * 120_000, "dots": "." * 120_000 + "a", "blanks": " " * 120_000, "hyphens": "A-" * 60_000, "mails": "x@y.example, " * 8_000, "titles": "Mr. Roe " * 8_000,
+    "hex": "0123456789abcdef" * 8_000, "brackets": "[(<a " * 20_000, "lines": "cut-\nting of words\n" * 6_000, "one word": "word " * 25_000, "quotes": "a'" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_long_texts_take_time_in_proportion(name):
+    import time
+
+    t = LONG[name]
+    model = scans.Model({"word": 900, "cutting": 500, "of": 900}, {}, set(), {}, __import__("numpy").zeros((0, 1)), True)
+    began = time.time()
+    personal.find(t)
+    [stuffing.block_features(b) for b in stuffing.blocks_of(t)]
+    scans.repair(t, model)
+    spans.Winnower().anchors(t)
+    bpe.Encoder({bytes([i]): i for i in range(256)} | {b"wo": 300}).ids(t)
+    assert time.time() - began < 15
+
+
+def test_long_texts_are_cut(spark):
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(LONG.values())], "id bigint, text string, a bigint")
+    n = pieces.split_items(df).agg(F.sum(F.length("piece") - F.col("overlap"))).head()[0]
+    assert n == sum(map(len, LONG.values()))
+
+
+def test_empty_tables_give_empty_results(spark):
+    e = spark.createDataFrame([], "id bigint, text string, a bigint, ids string, key string")
+    assert personal.personal_spans(e, "id", "text").count() == personal.redact(e, "id", "text").count() == pieces.split_items(e).count() == bpe.encode_frame(e, "id", "text").count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    t = spark.createDataFrame([(1, "a", 10, 5, 7.0), (2, "a", 20, 5, 7.0)], "doc_id bigint, source string, n_tokens bigint, copies int, docs double")
+    g = spark.createDataFrame([("a", 1.0, 1, 9)], "source string, target_share double, max_repeats int, tokens int")
+    assert sorted(r.copies for r in mixing.mix(t, g).collect()) == [1, 1]
+    d = spark.createDataFrame([(1, "one two", "x", 3)], "doc_id bigint, text string, ids string, n_tokens int")
+    assert bpe.encode_frame(d, "doc_id", "text").columns == ["doc_id", "ids"]
+    s = spark.createDataFrame([(1, "t", "x" * 300, 4, 5), (2, "u", "x" * 300, 4, 5)], "id bigint, token string, text string, own int, at int")
+    assert spans.shared_pairs(spans.shared_spans(s)).count() == 1
