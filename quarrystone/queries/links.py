@@ -210,7 +210,7 @@ def merge_devices(t):
     return ol.merge_devices(a, b, e.filter("event_type = 'error' and value > 150"), "id", ["v"])
 
 
-@query("""WITH c AS (SELECT q.vec_id AS query, e.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding,e.embedding) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id % 100 = 0) SELECT count(DISTINCT query) AS queries, CAST(sum(h) AS BIGINT) AS found, round(avg(h),6) AS recall FROM (SELECT a.query, max(CASE WHEN b.key IS NOT NULL THEN 1 ELSE 0 END) AS h FROM (SELECT query, key FROM c WHERE rank=5) a LEFT JOIN (SELECT query, key FROM c WHERE rank<=10) b ON a.query=b.query AND a.key=b.key GROUP BY 1)""")
+@query("""WITH c AS (SELECT q.vec_id AS query, e.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id % 100 = 0) SELECT count(DISTINCT query) AS queries, CAST(sum(h) AS BIGINT) AS found, round(avg(h),6) AS recall FROM (SELECT a.query, max(CASE WHEN b.key IS NOT NULL THEN 1 ELSE 0 END) AS h FROM (SELECT query, key FROM c WHERE rank=5) a LEFT JOIN (SELECT query, key FROM c WHERE rank<=10) b ON a.query=b.query AND a.key=b.key GROUP BY 1)""")
 def span_recall(t):
     """Whether the passage that answers is among the first ten."""
     e = t.embeddings

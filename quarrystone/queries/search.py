@@ -81,14 +81,14 @@ def referent_search(t):
     return se.referent_search(t.contracts.filter("party is not null"), "party", "Ashmere Water and Sewer Services")
 
 
-@query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id=0) SELECT vec_id, round(list_cosine_similarity(embedding,v),5) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding,v) DESC, vec_id LIMIT 10""")
+@query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id=0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),CAST(v AS DOUBLE[])),5) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]),CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 10""")
 def cosine_topk(t):
     """The ten nearest vectors to the first."""
     q = t.embeddings.filter("vec_id = 0").select("embedding").head()[0]
     return se.vector_topk(t.embeddings, "vec_id", "embedding", q, 10).withColumn("score", F.round("score", 5))
 
 
-@query("""WITH c AS (SELECT q.vec_id AS query, e.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding,e.embedding) DESC, e.vec_id) AS rank, q.label AS ql, e.label AS el FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id % 100 = 0) SELECT query, count(*) AS k, count(*) FILTER (ql=el) AS same FROM c WHERE rank<=10 GROUP BY 1""")
+@query("""WITH c AS (SELECT q.vec_id AS query, e.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank, q.label AS ql, e.label AS el FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id % 100 = 0) SELECT query, count(*) AS k, count(*) FILTER (ql=el) AS same FROM c WHERE rank<=10 GROUP BY 1""")
 def query_neighbours(t):
     """Searches: every vector whose id is divisible by 100 against all, in blocks, with how many of the ten nearest share its
     label."""
