@@ -23,23 +23,19 @@ ACCEPT = 0.5
 
 # Given names common in English-language registers and among their immigrant communities, with short forms.
 GIVEN = set(
-    """Aaron Abigail Adam Ahmed Aisha Alan Albert Alexander Ali Alice Amanda Amy Ana Anais Anaïs Andre Andrew Angela Ann Anna
-    Anthony Antonio Arthur Barbara Ben Benjamin Bernard Beth Betty Bill Bob Brian Carl Carlos Carmen Carol Caroline Catherine
-    Charles Charlotte Chris Christine Christopher Chuck Clara Daniel Daniela David Deborah Dennis Diana Diane Diego Donald Donna
-    Dorothy Dottie Douglas Edward Elena Eleanor Elizabeth Emily Emma Eric Ethan Eva Fatima Felix Fiona Florence Frances Francis
-    Frank Fred Gabriel George Gerald Gloria Gordon Grace Gregory Hannah Harold Harriet Harry Hector Heidi Helen Henry Hugo Ian
-    Ingrid Irene Isaac Isabella Ivan Jack Jacob James Jane Janet Jason Jean Jennifer Jessica Joan John Jonathan Jorge Jose José
-    Joseph Joshua Juan Judith Julia Julian Karen Kate Katherine Kathleen Keith Ken Kenneth Kenny Kevin Larry Laura Lawrence Leo
-    Lewis Liam Linda Lisa Louis Lucas Lucy Luis Maggie Manuel Marcus Margaret Maria Marie Mark Martha Martin Mary Matthew Mei
-    Michael Miguel Monica Nadia Nancy Nathan Nathaniel Nicholas Nina Noah Nora Oliver Olga Olivia Omar Oscar Pablo Pamela Patricia
-    Patrick Paul Peter Philip Priya Quentin Rachel Ralph Raymond Rebecca Richard Robert Rosa Russell Ruth""".split()
+    """Aaron Adam Aisha Alan Albert Alexander Ali Alice Amy Ana Anaïs Andre Andrew Angela Ann Anna Anthony Antonio Arthur
+    Barbara Ben Benjamin Beth Bill Brian Carl Carlos Carmen Carol Catherine Charles Charlotte Chris Christopher Chuck
+    Daniel David Dennis Diana Diane Donald Dorothy Dottie Douglas Edward Elena Elizabeth Emily Emma Eric Eva Fatima
+    Frances Francis Frank Gabriel George Gerald Gordon Grace Gregory Hannah Harold Harriet Harry Hector Helen Henry
+    Ian Ingrid Isabella Ivan Jack Jacob James Jane Janet Jason Jean Joan John Jonathan Jorge Jose Joseph José Juan
+    Judith Julia Julian Karen Kate Katherine Keith Ken Kenneth Kenny Kevin Larry Laura Lawrence Lewis Liam Linda Louis
+    Luis Maggie Marcus Margaret Maria Marie Mark Martha Martin Mary Matthew Mei Michael Miguel Nadia Nancy Nathan
+    Nathaniel Nicholas Olga Oliver Olivia Omar Ophelia Oscar Patricia Patrick Paul Peter Philip Priya Quentin Ralph
+    Raymond Richard Robert Rosa Russell Ruth Samantha Samuel Sandra Sara Sarah Soren Stephen Steven Sue Susan Søren
+    Tamara Theodore Thomas Timothy Tom Tony Ulysses Victor Victoria Vincent Walter William Yolanda Yuki Yvonne Zachary
+    Zack Zoe Zoë""".split()
 )
-MORE_GIVEN = set(
-    """Samantha Samuel Sandra Sara Sarah Sofia Soren Søren Stephen Steven Sue Susan Tamara Theodore Thomas Timothy Tom Tony Ulysses
-    Valerie Vera Victor Victoria Vincent Virginia Walter Wendy William Xavier Yolanda Yuki Yusuf Yvonne Zachary Zack Zara Zoe
-    Zoë""".split()
-)
-GIVEN_KEYS = {w.lower() for w in GIVEN | MORE_GIVEN}
+GIVEN_KEYS = {w.lower() for w in GIVEN}
 TITLES = set("mr mrs ms miss dr hon prof rev sir judge capt lt sgt madam mx".split())
 PARTICLES = set("de van von der den del la le di da dos du bin al ter st".split())
 STREET = "Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Court|Ct|Boulevard|Blvd|Pike|Way|Terrace|Ter|Parkway|Pkwy|Place|Pl|Circle|Cir|Trail|Trl|Highway|Hwy|Square|Sq|Loop|Alley|Plaza|Row|Run|Crescent|Hill|Turnpike"
