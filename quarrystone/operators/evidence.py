@@ -121,12 +121,14 @@ def binomial_tail(k: Column, n: Column) -> Column:
 
 
 def holm(tests: DataFrame, p: str = "p", key: str = "id", alpha: float = 0.05) -> DataFrame:
-    """Tests with kept: Holm's step-down at alpha; once one fails all larger p fail. Tests are kinds of breaks times signals, so
-    one order over all of them is short."""
+    """Tests with kept: Holm's step-down at alpha; once one fails all larger p fail. A p over alpha (or null) can't be kept, so
+    only the others are put in one order."""
+    m = tests.agg(F.count("*").alias("__m"))
     w = Window.partitionBy(F.lit(0)).orderBy(p, key)
-    m = F.count("*").over(Window.partitionBy(F.lit(0)))
-    x = tests.withColumn("__ok", F.col(p) <= alpha / (m - F.row_number().over(w) + 1))
-    return x.withColumn("kept", F.bool_and("__ok").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__ok")
+    x = tests.filter(F.col(p) <= alpha).crossJoin(F.broadcast(m))
+    x = x.withColumn("__ok", F.col(p) <= F.lit(alpha) / (F.col("__m") - F.row_number().over(w) + 1))
+    x = x.withColumn("kept", F.bool_and("__ok").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__ok", "__m")
+    return x.unionByName(tests.filter(F.coalesce(F.col(p) > alpha, F.lit(True))).withColumn("kept", F.lit(False)))
 
 
 def overlap_null(sizes: DataFrame, n: int, draws: int = DRAWS, seed: int = 5) -> DataFrame:
@@ -203,13 +205,20 @@ def lower_quantile(values: Column, q: float, convention: str = "floor_n") -> Col
 
 
 def region_rate(df: DataFrame, levels: list[str], hit: str, least: int = 20) -> DataFrame:
-    """Rows with the rate of the smallest region (levels from fine to coarse) that has ``least`` rows or more, and its name."""
+    """Rows with the rate of the smallest region (levels from fine to coarse) that has ``least`` rows or more, and its name.
+    Rates come from aggregates that combine before any exchange, so a coarse region is never put together in one task; null is
+    a region of its own."""
     x, rate, name = df, F.lit(None).cast("double"), F.lit(None).cast("string")
     for l in reversed(levels):
-        w = Window.partitionBy(*levels[levels.index(l) :])
-        ok = F.count("*").over(w) >= least
-        rate, name = F.when(ok, F.avg(F.col(hit).cast("double")).over(w)).otherwise(rate), F.when(ok, F.lit(l)).otherwise(name)
-    return x.withColumn("normal_rate", rate).withColumn("region", name)
+        keys = levels[levels.index(l) :]
+        a = df.groupBy(*[F.col(k).alias(f"__{l}_{k}") for k in keys]).agg(F.count("*").alias(f"__n_{l}"), F.avg(F.col(hit).cast("double")).alias(f"__a_{l}"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{l}_{k}"))
+        x = x.join(a, same, "left").drop(*[f"__{l}_{k}" for k in keys])
+        ok = F.col(f"__n_{l}") >= least
+        rate, name = F.when(ok, F.col(f"__a_{l}")).otherwise(rate), F.when(ok, F.lit(l)).otherwise(name)
+    return x.withColumn("normal_rate", rate).withColumn("region", name).drop(*[f"__{c}_{l}" for l in levels for c in "na"])
 
 
 def votes(flags: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def near_copies(t):
     return pr.shingle_jaccard(t.documents.select("doc_id", "text"), "doc_id", "text")
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT party AS n FROM contracts WHERE party IS NOT NULL AND length(party)>=4) SELECT a.n AS a, b.n AS b, CAST(damerau_levenshtein(lower(a.n),lower(b.n)) AS INTEGER) AS d FROM n a JOIN n b ON a.n<b.n AND damerau_levenshtein(lower(a.n),lower(b.n))<=2""")
 def near_spellings(t):
     """Parties' names within two edits of each other."""
     return pr.near_spellings(t.contracts.filter("party is not null"), "party")
@@ -174,11 +174,11 @@ def keyword_relevance(t):
     return ev.relevance(w.filter("doc is not null").groupBy("doc", "stem").agg(F.count("*").alias("n")), bg)
 
 
-@query()
+@query("""WITH c AS (SELECT token, party, department, coalesce(CASE WHEN status='Active' THEN 1.0 ELSE CASE WHEN status IS NULL THEN NULL ELSE 0.0 END END, NULL) AS h FROM contracts) SELECT DISTINCT token, round(CASE WHEN count(*) OVER (PARTITION BY party, department)>=20 THEN avg(h) OVER (PARTITION BY party, department) WHEN count(*) OVER (PARTITION BY department)>=20 THEN avg(h) OVER (PARTITION BY department) WHEN count(*) OVER ()>=20 THEN avg(h) OVER () END,6) AS normal_rate, CASE WHEN count(*) OVER (PARTITION BY party, department)>=20 THEN 'party' WHEN count(*) OVER (PARTITION BY department)>=20 THEN 'department' WHEN count(*) OVER ()>=20 THEN 'everywhere' END AS region FROM c""")
 def normal_rates(t):
     """The share of active contracts in the smallest region that is large enough."""
     c = t.contracts.select("token", "party", "department", F.lit("all").alias("everywhere"), (F.col("status") == "Active").alias("hit"))
-    return ev.region_rate(c, ["party", "department", "everywhere"], "hit").select("token", "normal_rate", "region").distinct()
+    return ev.region_rate(c, ["party", "department", "everywhere"], "hit").select("token", F.round("normal_rate", 6).alias("normal_rate"), "region").distinct()
 
 
 @query()
