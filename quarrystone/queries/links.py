@@ -282,3 +282,28 @@ def discussion(t):
     e = t.events.select(F.col("event_id").cast("string").alias("event_id"), "ts", F.col("user_id").cast("string").alias("sender"), F.when(F.col("event_type") == "view", "comment").when(F.col("event_type") == "click", "edit").otherwise("resolve").alias("op"), F.when(F.col("event_type") == "view", "thread").otherwise((F.col("event_id") - 1).cast("string")).alias("target"), F.col("props").alias("body"))
     led = t.events.groupBy(F.col("user_id").cast("string").alias("sender")).agg(F.min("ts").alias("since"), F.lit("editor").alias("role"))
     return ol.fold_talk(e, led, "1")[0]
+
+
+@query("""WITH c AS (SELECT DISTINCT id, token AS doc, unnest(regexp_extract_all(verbatim,'Section ([0-9]+)[.]',1)) AS num FROM obs), o AS (SELECT token AS doc, min(id) AS id, regexp_extract(x,'^([0-9]+)[.]',1) AS num, x FROM (SELECT token, id, unnest(string_split(coalesce(text,''),chr(10))) AS x FROM chunks) WHERE regexp_full_match(x,'[0-9]+[.] [A-Z ]+') GROUP BY token, x), t AS (SELECT doc, num, count(*) AS n, min(id) AS target FROM o GROUP BY 1,2)
+SELECT c.id, c.num, CASE WHEN n=1 THEN target END AS target, CASE WHEN n IS NULL THEN 'nothing opens with it' WHEN n>1 THEN 'several open with it' END AS why FROM c LEFT JOIN t ON t.doc=c.doc AND t.num=c.num""")
+def citation_resolution(t):
+    """Cited sections led to the only heading that opens with their number, or the reason why not."""
+    c = t.obs.select("id", F.col("token").alias("doc"), F.explode(F.regexp_extract_all("verbatim", F.lit(r"Section ([0-9]+)[.]"), F.lit(1))).alias("num")).distinct()
+    h = headings(t).groupBy("doc", "heading").agg(F.min("id").alias("id"))
+    return pr.resolve_citations(c, h.select("doc", "id", F.regexp_extract("heading", r"^([0-9]+)[.]", 1).alias("num"))).select("id", "num", "target", "why")
+
+
+@query("""WITH t AS (SELECT id, token AS doc, unnest(list_distinct(regexp_extract_all(lower(coalesce(verbatim,'')),'[a-z]{5,}'))) AS term FROM obs WHERE kind='notice' AND token IS NOT NULL), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM t x JOIN t y ON x.term=y.term AND x.id<y.id AND x.doc<>y.doc GROUP BY 1,2) SELECT a, b, round(k/sqrt(p.n*q.n),6) AS cosine FROM s JOIN n p ON p.id=a JOIN n q ON q.id=b WHERE k/sqrt(p.n*q.n)>=0.3""")
+def echo_cosine(t):
+    """Notices of different contracts that say nearly the same."""
+    o = t.obs.filter("kind = 'notice' and token is not null")
+    x = o.select("id", F.col("token").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(sc.text_of("verbatim")), F.lit("[a-z]{5,}"), F.lit(0)))).alias("term"), F.lit(1.0).alias("w"))
+    return pr.echo_cosine(x, 0.3 - 1e-12).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def candidate_binding(t):
+    """Parties as candidates for the contracts whose text names them: bound if words speak for them and nothing against."""
+    g = t.contracts.select(F.col("token").alias("id"), F.split(F.lower(sc.text_of("party")), r"\W+").alias("words"), F.lit("party").alias("kind"), F.lit(2020).alias("year")).dropDuplicates(["id"])
+    s = t.signers.filter("name is not null").select(F.col("name").alias("cand"), F.col("token").alias("id"), F.split(F.lower("name"), r"\W+").alias("words"), F.lit("party").alias("kind"), F.lit(None).cast("int").alias("since"), F.lit(None).cast("int").alias("until")).distinct()
+    return lk.bind_candidates(g, s).select("id", "cand", "shared", "verdict")

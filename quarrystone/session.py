@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,15 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder every executor can reach: spark.checkpoint.dir; only where that is unset (local runs, tests) a temporary one,
+    deleted when Python ends."""
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not d and sc.getCheckpointDir():
-        d = sc.getCheckpointDir()
+    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(sc.applicationId) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="quarrystone-")
-        sc.setCheckpointDir(d)
+        d = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="quarrystone-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
     return d
 
 
@@ -53,3 +57,9 @@ def cut(df: DataFrame, what: str = "stage") -> DataFrame:
     path = os.path.join(shared_dir(spark), "quarrystone", f"{what}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all written stages of this package: for the end of a run, when no frame that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), "quarrystone"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

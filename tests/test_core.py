@@ -446,3 +446,14 @@ def test_draws_follow_weights(spark):
     d = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 0.0)], "k string, w double")
     got = [r.k for r in od.cumulative_draws(d, "k", "w", 2000, 1).collect()]
     assert len(got) == 2000 and abs(got.count("b") / 2000 - 0.75) < 0.04 and "c" not in got
+
+
+def test_stages_are_written_and_purged(spark):
+    import os
+
+    from quarrystone.session import cut, purge, shared_dir
+
+    d = cut(spark.range(10), "x")
+    assert d.count() == 10 and os.listdir(os.path.join(shared_dir(spark), "quarrystone"))
+    purge(spark)
+    assert not os.path.exists(os.path.join(shared_dir(spark), "quarrystone"))
