@@ -3,7 +3,6 @@ both: the state store holds what was folded, and the same aggregate runs over a
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,27 +30,34 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append
 
 
 def upsert_batches(df: DataFrame, table_dir: str, checkpoint: str, key: list[str], order: str) -> None:
-    """The last row per key kept in a directory: each batch is merged with what is there into a new version, and a pointer file
-    names the current one, so a reader never sees half a version and a batch that runs twice gives the same table."""
+    """The last row per key kept in a directory. Each batch is merged with the version before it into one of its own, named by
+    the batch's number and complete when its success mark is there: a reader never sees half a version, and a batch that runs
+    twice, after a failure, gives the same table."""
 
     def merge(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        cur = current_version(table_dir)
-        rows = batch if cur is None else batch.unionByName(spark.read.parquet(cur))
+        before = [v for v in versions(spark, table_dir) if v < no]
+        rows = batch if not before else batch.unionByName(spark.read.parquet(f"{table_dir}/v{before[-1]}"))
         last = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.struct(order, *[c for c in rows.columns if c != order])).alias("r")).select("r.*")
-        path = os.path.join(table_dir, f"v{no}")
-        last.write.mode("overwrite").parquet(path)
-        with open(os.path.join(table_dir, "_current.tmp"), "w") as f:
-            f.write(path)
-        os.replace(os.path.join(table_dir, "_current.tmp"), os.path.join(table_dir, "_current"))
+        last.write.mode("overwrite").parquet(f"{table_dir}/v{no}")
 
-    os.makedirs(table_dir, exist_ok=True)
     df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def current_version(table_dir: str) -> str | None:
-    p = os.path.join(table_dir, "_current")
-    return open(p).read() if os.path.exists(p) else None
+def versions(spark: SparkSession, table_dir: str) -> list[int]:
+    """Numbers of the complete versions in a directory of any file system Spark can reach."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path_of(table_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(path_of(root, f"{n}/_SUCCESS")))
+
+
+def current(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The newest complete version."""
+    return spark.read.parquet(f"{table_dir}/v{versions(spark, table_dir)[-1]}")
 
 
 def fold_counts(events: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def test_checkpointed_fold_is_the_fold_of_all(spark, small, tmp_path):
     for part in ("event_id % 3 = 0", "event_id % 3 <> 0"):
         e.filter(part).coalesce(1).write.mode("append").parquet(src)
         folds.upsert_batches(folds.stream_files(spark, src, folds.EVENTS), out, cp, ["user_id"], "event_id")
-    got = sorted((r.user_id, r.event_id) for r in spark.read.parquet(folds.current_version(out)).collect())
+    got = sorted((r.user_id, r.event_id) for r in folds.current(spark, out).collect())
     want = sorted((r.user_id, r.m) for r in e.groupBy("user_id").agg(F.max("event_id").alias("m")).collect())
     assert got == want
 
