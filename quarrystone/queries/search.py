@@ -109,7 +109,7 @@ def vector_lift(t):
 @query()
 def fuzzy_verify(t):
     """Texts that hold a misspelt phrase within its number of edits."""
-    return se.fuzzy_search(t.chunks, "id", "text", "shall be governcd by")
+    return se.fuzzy_search(t.chunks, "id", "text", "is governcd bv the")
 
 
 @query()
