@@ -7,8 +7,13 @@ from quarrystone.operators import ordered as od
 from quarrystone.queries.registry import query
 
 
+def since_epoch(c: str, unit: str = "SECOND"):
+    """Units of a zone-free time since 1970: the same in any session time zone."""
+    return F.expr(f"timestampdiff({unit}, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+
+
 def cues(t):
-    return t.events.select("user_id", "event_id", "event_type", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    return t.events.select("user_id", "event_id", "event_type", "value", (since_epoch("ts", "MICROSECOND") / 1e6).alias("s"))
 
 
 X = "SELECT user_id, event_id, event_type, value, epoch_us(ts)/1e6 AS s FROM events"
@@ -88,15 +93,15 @@ def runner_up_gap(t):
 @query("""SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value),4) AS total, max(abs(value)) AS peak FROM events GROUP BY 1,2""")
 def tumbling_sum(t):
     """Events by hour: count, sum and peak."""
-    w = F.window(F.col("ts").cast("timestamp"), "1 hour")
-    return t.events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max(F.abs("value")).alias("peak")).select(F.unix_timestamp("w.start").alias("hour"), "event_type", "n", "total", "peak")
+    w = F.window("ts", "1 hour")
+    return t.events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max(F.abs("value")).alias("peak")).select(since_epoch("w.start").alias("hour"), "event_type", "n", "total", "peak")
 
 
 @query("""SELECT CAST(epoch(b - INTERVAL (k) HOUR) AS BIGINT) AS start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b FROM events), range(0,3) r(k) GROUP BY 1""")
 def sliding_counts(t):
     """Events in windows of three hours that begin every hour."""
-    w = F.window(F.col("ts").cast("timestamp"), "3 hours", "1 hour")
-    return t.events.groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("start"), "n")
+    w = F.window("ts", "3 hours", "1 hour")
+    return t.events.groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(since_epoch("w.start").alias("start"), "n")
 
 
 @query()
