@@ -12,8 +12,8 @@ from quarrystone.operators import oplog as ol
 from quarrystone.operators import pairs as pr
 from quarrystone.operators import search as se
 from quarrystone.operators import vectors as vc
-from quarrystone.queries.registry import query
-from quarrystone.queries.statistics import PAIRS, shared_tokens
+from quarrystone.queries.registry import SQL, query
+from quarrystone.queries.statistics import PAIRS, SH, SH_ALL, shared_tokens
 
 NEG = "(regexp_matches(l,'\\b(not|never|none|nothing|without|neither|nor|cannot|disclaims?|prohibit(s|ed)?)\\b') OR regexp_matches(l,'[a-z]+n[''’]t\\b') OR regexp_matches(regexp_replace(l,'\\bno\\b[.]?\\s*[0-9]','','g'),'\\bno\\b'))"
 
@@ -29,6 +29,13 @@ def best_per_source(t):
     return lk.best_per_source(s).select("q", "doc", "id")
 
 
+@query(SQL["best_per_source"].replace(SH, SH_ALL))
+def best_per_source_all(t):
+    """The same over statements of every kind."""
+    s = pr.pair_scores(pr.blocked_tokens(shared_tokens(t, None))).select(F.col("a").alias("q"), F.col("doc_b").alias("doc"), F.col("b").alias("id"), F.round("score", 6).alias("score"))
+    return lk.best_per_source(s).select("q", "doc", "id")
+
+
 @query(f"""{PAIRS}, ng AS (SELECT id, {NEG} AS n FROM (SELECT id, lower(coalesce(verbatim,'')) AS l FROM obs)), x AS (SELECT CASE WHEN u.n THEN a ELSE b END AS denial, CASE WHEN u.n THEN b ELSE a END AS id, CASE WHEN u.n THEN doc_b ELSE doc_a END AS doc, round(score,6) AS sc FROM s JOIN ng u ON u.id=a JOIN ng v ON v.id=b WHERE u.n<>v.n)
 SELECT denial, id FROM (SELECT *, row_number() OVER (PARTITION BY denial, doc ORDER BY sc DESC, id) AS r FROM x) WHERE r<=3""")
 def polarity_links(t):
@@ -36,6 +43,12 @@ def polarity_links(t):
     return lk.polarity_links(t.obs.select("id", F.col("verbatim").alias("text")), shared_tokens(t)).select("denial", "id")
 
 
+@query(SQL["polarity_links"].replace(SH, SH_ALL))
+def polarity_links_all(t):
+    """The same over statements of every kind."""
+    return lk.polarity_links(t.obs.select("id", F.col("verbatim").alias("text")), shared_tokens(t, None)).select("denial", "id")
+
+
 @query("""WITH s AS (SELECT id, token AS doc, lower(coalesce(verbatim,'')) AS t FROM obs WHERE regexp_full_match(coalesce(verbatim,''),'[\\x00-\\x7f]*')), d AS (SELECT DISTINCT id, doc, unnest(regexp_extract_all(t,'["]([^"]{3,60})["]\\s+(?:means|shall mean|refers to|is defined as)',1)) AS phrase FROM s)
 SELECT min(d.id) AS definition, s.id, d.phrase FROM d JOIN s ON s.doc<>d.doc AND contains(s.t, d.phrase) GROUP BY s.id, d.phrase""")
 def defined_links(t):
@@ -237,7 +250,7 @@ def summary_ladder(t):
 @query()
 def read_across(t):
     """Mutually best pairs of statements of two contracts."""
-    o = t.obs.filter("kind in ('notice', 'date') and token is not null").select("id", F.col("token").alias("doc"), F.col("verbatim").alias("text"))
+    o = t.obs.filter("token is not null").select("id", F.col("token").alias("doc"), F.col("verbatim").alias("text"))
     return pr.read_across(o)
 
 
@@ -265,7 +278,7 @@ def prose_or_record(t):
 @query()
 def null_floor(t):
     """The score chance reaches, by size of a statement."""
-    tok = shared_tokens(t)
+    tok = shared_tokens(t, None)
     return pr.null_floor(tok, tok.groupBy("id").agg(F.count("*").alias("size")).select("size").distinct())
 
 
@@ -294,13 +307,19 @@ def citation_resolution(t):
 
 
 @query("""WITH t AS (SELECT id, token AS doc, unnest(list_distinct(regexp_extract_all(lower(coalesce(verbatim,'')),'[a-z]{5,}'))) AS term FROM obs WHERE kind='notice' AND token IS NOT NULL), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM t x JOIN t y ON x.term=y.term AND x.id<y.id AND x.doc<>y.doc GROUP BY 1,2) SELECT a, b, round(k/sqrt(p.n*q.n),6) AS cosine FROM s JOIN n p ON p.id=a JOIN n q ON q.id=b WHERE k/sqrt(p.n*q.n)>=0.3""")
-def echo_cosine(t):
+def echo_cosine(t, where="kind = 'notice'"):
     """Notices of different contracts that say nearly the same."""
-    o = t.obs.filter("kind = 'notice' and token is not null")
+    o = t.obs.filter("token is not null").filter(where)
     x = o.select("id", F.col("token").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(sc.text_of("verbatim")), F.lit("[a-z]{5,}"), F.lit(0)))).alias("term"), F.lit(1.0).alias("w"))
     return pr.echo_cosine(x, 0.3 - 1e-12).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+@query(SQL["echo_cosine"].replace("kind='notice' AND ", ""))
+def echo_cosine_all(t):
+    """Statements of every kind, of different contracts, that say nearly the same."""
+    return echo_cosine(t, "true")
+
+
 @query()
 def candidate_binding(t):
     """Parties as candidates for the contracts whose text names them: bound if words speak for them and nothing against."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import scalars as sc
 from quarrystone.operators import evidence as ev
 from quarrystone.operators import pairs as pr
-from quarrystone.queries.registry import query
+from quarrystone.queries.registry import SQL, query
 
 W = "SELECT id, token AS doc, lower(w) AS stem FROM (SELECT id, token, unnest(regexp_extract_all(lower(coalesce(verbatim,'')),'[a-z]{4,}')) AS w FROM obs)"
 
@@ -94,8 +94,13 @@ def perspective_bits(t):
 SH = "SELECT id, token AS doc, unnest(list_distinct(regexp_extract_all(lower(coalesce(verbatim,'')),'[a-z]{5,}'))) AS token FROM obs WHERE kind IN ('notice','date','party') AND length(verbatim)>=12 AND token IS NOT NULL"
 
 
-def shared_tokens(t):
-    o = t.obs.filter("kind in ('notice', 'date', 'party') and length(verbatim) >= 12 and token is not null")
+# The queries named ..._all run over the statements of every kind; those without it keep to three kinds, as their SQL does.
+SH_ALL = SH.replace("kind IN ('notice','date','party') AND ", "")
+
+
+def shared_tokens(t, kinds=("notice", "date", "party")):
+    o = t.obs.filter("length(verbatim) >= 12 and token is not null")
+    o = o.filter(F.col("kind").isin(*kinds)) if kinds else o
     return o.select("id", F.col("token").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("verbatim"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("token"))
 
 
@@ -104,6 +109,11 @@ def idf_bits(t):
     return pr.idf_bits(shared_tokens(t)).withColumn("idf", F.round("idf", 6))
 
 
+@query(SQL["idf_bits"].replace(SH, SH_ALL))
+def idf_bits_all(t):
+    return pr.idf_bits(shared_tokens(t, None)).withColumn("idf", F.round("idf", 6))
+
+
 PAIRS = f"""WITH t AS ({SH}), n AS (SELECT count(DISTINCT id) AS n FROM t), f AS (SELECT token, count(*) AS df, log2(((SELECT n FROM n)+1)/count(*)) AS idf FROM t GROUP BY 1 HAVING count(*)>=2 AND count(*)<=greatest(2,ceil(sqrt((SELECT n FROM n))))), b AS (SELECT t.*, idf FROM t JOIN f ON f.token=t.token), s AS (SELECT x.id AS a, y.id AS b, x.doc AS doc_a, y.doc AS doc_b, count(*) AS shared, sum(x.idf) AS score FROM b x JOIN b y ON x.token=y.token AND x.id<y.id AND x.doc<>y.doc GROUP BY ALL)"""
 
 
@@ -113,19 +123,35 @@ def pair_idf_score(t):
     return pr.pair_scores(pr.blocked_tokens(shared_tokens(t))).select("a", "b", "shared", F.round("score", 4).alias("score"))
 
 
+@query(SQL["pair_idf_score"].replace(SH, SH_ALL))
+def pair_idf_score_all(t):
+    """The same over statements of every kind."""
+    return pr.pair_scores(pr.blocked_tokens(shared_tokens(t, None))).select("a", "b", "shared", F.round("score", 4).alias("score"))
+
+
 @query(f"""{PAIRS} SELECT doc_a, doc_b, count(DISTINCT token) AS shared FROM (SELECT x.doc AS doc_a, y.doc AS doc_b, x.token FROM b x JOIN b y ON x.token=y.token AND x.doc<y.doc) GROUP BY 1,2""")
 def pair_proposals(t):
     return pr.proposals(pr.blocked_tokens(shared_tokens(t)))
 
 
+@query(SQL["pair_proposals"].replace(SH, SH_ALL))
+def pair_proposals_all(t):
+    return pr.proposals(pr.blocked_tokens(shared_tokens(t, None)))
+
+
 @query(f"""{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sc DESC) AS ra, lead(sc) OVER (PARTITION BY a ORDER BY sc DESC) AS na, row_number() OVER (PARTITION BY b ORDER BY sc DESC) AS rb, lead(sc) OVER (PARTITION BY b ORDER BY sc DESC) AS nb FROM (SELECT a, b, round(score,6) AS sc FROM s)) SELECT a, b FROM r WHERE ra=1 AND rb=1 AND (na IS NULL OR sc>na) AND (nb IS NULL OR sc>nb)""")
-def mutual_best(t):
-    s = pr.pair_scores(pr.blocked_tokens(shared_tokens(t))).select("a", "b", F.round("score", 6).alias("score"))
+def mutual_best(t, kinds=("notice", "date", "party")):
+    s = pr.pair_scores(pr.blocked_tokens(shared_tokens(t, kinds))).select("a", "b", F.round("score", 6).alias("score"))
     from quarrystone.operators.joins import mutual_best
 
     return mutual_best(s).select("a", "b")
 
 
+@query(SQL["mutual_best"].replace(SH, SH_ALL))
+def mutual_best_all(t):
+    return mutual_best(t, None)
+
+
 @query("""WITH v AS (SELECT DISTINCT o_custkey AS id, o_orderstatus AS key, year(o_orderdate) AS value FROM orders), p AS (SELECT DISTINCT o_custkey AS a, o_custkey+1 AS b FROM orders), j AS (SELECT p.a, p.b, bool_or(x.value=y.value) AS eq, bool_or(x.value<>y.value) AS cf FROM p JOIN v x ON x.id=p.a JOIN v y ON y.id=p.b AND y.key=x.key GROUP BY 1,2), n AS (SELECT id, count(*) AS n FROM v GROUP BY 1)
 SELECT p.a, p.b, CASE WHEN cf AND NOT eq THEN 'differs' WHEN eq THEN 'same' WHEN coalesce(x.n,0)<>coalesce(y.n,0) THEN 'extends' ELSE 'none' END AS verdict FROM p LEFT JOIN j ON j.a=p.a AND j.b=p.b LEFT JOIN n x ON x.id=p.a LEFT JOIN n y ON y.id=p.b""")
 def value_verdict(t):

@@ -90,3 +90,23 @@ def test_null_rises_with_size(spark):
     tok = spark.createDataFrame([(i, f"d{i}", f"w{(i * 7 + j * j) % 37}") for i in range(60) for j in range(8)], "id int, doc string, token string").distinct()
     f = {r["size"]: r.floor for r in pr.null_floor(tok, spark.createDataFrame([(2,), (8,)], "size int")).collect()}
     assert f[8] > f[2] >= 0
+
+
+def test_pairs_of_every_kind(spark):
+    from types import SimpleNamespace
+
+    from quarrystone.queries import links as ql
+    from quarrystone.queries import statistics as qs
+
+    texts = [("clause", "a", "hydrant meadow fixture rental"), ("clause", "b", "hydrant meadow fixture council"), ("term", "c", "council lantern window pavement"), ("amount", "d", "lantern window nothing granted"), ("notice", "a", "pavement harbour signage ladder"), ("notice", "b", "harbour signage without ladder"), (None, "c", "rental hydrant gravel orchard"), ("clause", None, "hydrant meadow fixture rental")]
+    t = SimpleNamespace(obs=spark.createDataFrame([(i, d, k, x) for i, (k, d, x) in enumerate(texts)], "id bigint, token string, kind string, verbatim string"))
+    bags = {i: (d, {w for w in x.split() if len(w) >= 5}) for i, (_, d, x) in enumerate(texts) if d}
+    df = {w: sum(w in b for _, b in bags.values()) for _, b in bags.values() for w in b}
+    rare = {w for w, n in df.items() if 2 <= n <= 3}
+    want = {(a, b): len(bags[a][1] & bags[b][1] & rare) for a in bags for b in bags if a < b and bags[a][0] != bags[b][0]}
+    assert {(r.a, r.b): r.shared for r in qs.pair_idf_score_all(t).collect()} == {k: n for k, n in want.items() if n}
+    assert {(r.denial, r.id) for r in ql.polarity_links_all(t).collect()} >= {(3, 2), (5, 4)}
+    assert {r.token: r.df for r in qs.idf_bits_all(t).collect()} == df
+    cos = {(a, b): len(bags[a][1] & bags[b][1]) / (len(bags[a][1]) * len(bags[b][1])) ** 0.5 for a, b in want}
+    assert {(r.a, r.b) for r in ql.echo_cosine_all(t).collect()} == {k for k, c in cos.items() if c >= 0.3}
+    assert (0, 1) in {(r.a, r.b) for r in ql.read_across(t).collect()}
