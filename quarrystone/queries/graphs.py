@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrystone.operators import graph as gr
-from quarrystone.queries.registry import query
+from quarrystone.queries.registry import SQL, query
 
 
 @query("""WITH m AS (SELECT DISTINCT token, name FROM signers) SELECT a.name AS a, b.name AS b, count(*) AS n, count(DISTINCT a.token) AS docs FROM m a JOIN m b ON a.token=b.token AND a.name<b.name GROUP BY 1,2""")
@@ -43,8 +43,12 @@ def rollup_edges(t):
 LINKS = "SELECT DISTINCT o_custkey AS src, 1000000+l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey=o_orderkey WHERE l_quantity=50 AND l_discount<0.02"
 
 
-def links(t):
-    l = t.lineitem.filter("l_quantity = 50 and l_discount < 0.02").select("l_orderkey", (F.col("l_suppkey") + 1000000).alias("dst"))
+# The queries named ..._all run over all order lines; those without it keep to large orders, as their SQL does.
+LINKS_ALL = LINKS.replace(" WHERE l_quantity=50 AND l_discount<0.02", "")
+
+
+def links(t, where="l_quantity = 50 and l_discount < 0.02"):
+    l = t.lineitem.filter(where).select("l_orderkey", (F.col("l_suppkey") + 1000000).alias("dst"))
     return l.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src")), "l_orderkey").select("src", "dst").distinct()
 
 
@@ -54,12 +58,24 @@ def components(t):
     return gr.components(links(t))
 
 
+@query()
+def components_all(t):
+    """The same over all order lines."""
+    return gr.components(links(t, "true"))
+
+
 @query(f"""WITH l AS ({LINKS}), e AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l), a AS (SELECT 1000001 AS node, 0 AS ring), b AS (SELECT DISTINCT dst AS node FROM e WHERE src=1000001), c AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM b)), d AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM c)) SELECT CAST(node AS BIGINT) AS node, CAST(min(ring) AS INTEGER) AS ring FROM (SELECT * FROM a UNION ALL SELECT node, 1 FROM b UNION ALL SELECT node, 2 FROM c UNION ALL SELECT node, 3 FROM d) GROUP BY 1""")
 def bfs_rings(t):
     """Three steps round one supplier."""
     return gr.rings(links(t), 1000001, 3)
 
 
+@query(SQL["bfs_rings"].replace(LINKS, LINKS_ALL))
+def bfs_rings_all(t):
+    """The same over all order lines."""
+    return gr.rings(links(t, "true"), 1000001, 3)
+
+
 @query("""SELECT node, layer FROM (SELECT CAST(r_regionkey AS INTEGER) AS node, 0 AS layer FROM region UNION ALL SELECT 100+n_nationkey, 1 FROM nation UNION ALL SELECT DISTINCT CAST(1000+s_suppkey AS INTEGER), 2 FROM supplier) WHERE node IN (SELECT n_regionkey FROM nation) OR node>=100""")
 def dag_layers(t):
     """Longest paths: region, nation, supplier."""

@@ -10,7 +10,7 @@ from quarrystone.operators import oplog, ordered
 from quarrystone.operators import search as se
 from quarrystone.plans import filters as ft
 from quarrystone.plans import plan as pl
-from quarrystone.queries.registry import query
+from quarrystone.queries.registry import SQL, query
 from quarrystone.sources import tabular as tb
 
 BAND = "CASE WHEN coalesce(g.amount,0)=0 THEN 'none' WHEN g.amount<10000 THEN '<10k' WHEN g.amount<50000 THEN '10-50k' WHEN g.amount<250000 THEN '50-250k' WHEN g.amount<1000000 THEN '250k-1M' ELSE '1M+' END"
@@ -194,12 +194,18 @@ def successor_chain(t):
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey=o_orderkey WHERE l_quantity>48), f AS (SELECT DISTINCT s_suppkey AS src, s_nationkey+100000 AS dst FROM supplier), g AS (SELECT * FROM e UNION SELECT * FROM f)
 SELECT x.src AS a, y.dst AS c, count(*) AS ways FROM g x JOIN g y ON x.dst=y.src WHERE x.src<>y.dst AND x.src<>x.dst AND y.src<>y.dst GROUP BY 1,2""")
-def two_hop_compose(t):
-    e = t.lineitem.filter("l_quantity > 48").select("l_orderkey", F.col("l_suppkey").alias("dst")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src")), "l_orderkey").select("src", "dst")
+def two_hop_compose(t, where="l_quantity > 48"):
+    e = t.lineitem.filter(where).select("l_orderkey", F.col("l_suppkey").alias("dst")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src")), "l_orderkey").select("src", "dst")
     f = t.supplier.select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey") + 100000).cast("bigint").alias("dst"))
     return jn.two_hop(e.unionByName(f).distinct())
 
 
+@query(SQL["two_hop_compose"].replace(" WHERE l_quantity>48", ""))
+def two_hop_compose_all(t):
+    """The same over all order lines."""
+    return two_hop_compose(t, "true")
+
+
 @query("""WITH l AS (SELECT token, amount FROM gist WHERE read='ledger'), r AS (SELECT DISTINCT token FROM obs WHERE kind='amount') SELECT l.token AS left_id, r.token AS right_id, CASE WHEN r.token IS NULL THEN 'left' WHEN l.token IS NULL THEN 'right' ELSE 'both' END AS side FROM l FULL JOIN r ON l.token=r.token""")
 def seam(t):
     """Two sides paired: both, left only, right only."""

@@ -206,6 +206,26 @@ def test_components_against_union_find(spark):
     assert got == {x: root(x) for p in e if p[0] != p[1] for x in p}
 
 
+def test_graphs_of_all_order_lines(spark):
+    from collections import Counter
+    from types import SimpleNamespace
+
+    from quarrystone.queries import graphs as qg
+    from quarrystone.queries import relational as qr
+
+    orders = [(i, 10 + i // 2) for i in range(8)]
+    lines = [(0, 1, 3.0, 0.05), (1, 2, 50.0, 0.01), (2, 2, 7.0, 0.05), (4, 3, 49.0, 0.0), (6, 4, 1.0, 0.1), (7, 3, 2.0, 0.1), (7, 3, 2.0, 0.1)]
+    t = SimpleNamespace(
+        orders=spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint"),
+        lineitem=spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_quantity double, l_discount double"),
+        supplier=spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "s_suppkey bigint, s_nationkey int"),
+    )
+    edges = {(dict(orders)[o], s) for o, s, _, _ in lines}
+    assert {r.node: r.component for r in qg.components_all(t).collect()} == {10: 10, 11: 10, 12: 12, 13: 12, 1000001: 10, 1000002: 10, 1000003: 12, 1000004: 12}
+    assert {r.node: r.ring for r in qg.bfs_rings_all(t).collect()} == {1000001: 0, 10: 1, 1000002: 2, 11: 3}
+    assert {(r.a, r.c): r.ways for r in qr.two_hop_compose_all(t).collect()} == Counter((c, s % 2 + 100000) for c, s in edges)
+
+
 def test_layers_raise_on_a_circle(spark):
     assert dict(rows(gr.layers(spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src int, dst int")))) == {1: 0, 2: 1, 3: 2}
     with pytest.raises(ValueError):
