@@ -73,6 +73,10 @@ def language(text: str, words: set[str]) -> str:
     return k if FUNCTION_WORDS[k] & words else "latin"
 
 
+def listed_share(text: str) -> float:
+    return sum(m.end() - m.start() for m in LINKS.finditer(text)) / len(text) if LISTING.search(text) else 0.0
+
+
 def block_features(block: str) -> tuple | None:
     """(language, length class, ratio, words, real sentence ends per word, share listed, share said again, separators)."""
     raw = block.split()
@@ -80,11 +84,11 @@ def block_features(block: str) -> tuple | None:
     n = len(raw) + cjk // 2
     if not n:
         return None
-    if n < 6:
-        return ("", 0, None, n, 0.0, 0.0, 0.0, 0.0)
-    flat, lower = block, block.lower().split()
-    distinct = set(lower)
-    lang = language(flat, distinct)
+    if n < 6:  # too short for a ratio, but it may be made of links
+        full = any(len(u.split()) >= 5 for u in END.split(block)[:-1])
+        return ("", 0, None, n, full / n, listed_share(block), 0.0, 0.0)
+    flat = block
+    lang = language(flat, set(block.lower().split()))
     data = flat.encode("utf-8", "replace")
     ratio = len(zlib.compress(data, 6)) / len(data)
     if ratio < 0.6 and (short := RUN.sub(r"\1\1\1", flat)) != flat:
@@ -92,17 +96,9 @@ def block_features(block: str) -> tuple | None:
         data = flat.encode("utf-8", "replace")
         ratio = len(zlib.compress(data, 6)) / len(data)
     size = int(math.log2(len(data)) * 2)
-    ends = len(END.findall(flat))
-    if len(distinct) > 0.5 * len(lower) and ends > 0.03 * n and not cjk:
-        return (lang, size, ratio, n, ends / n, 0.0, 0.0, 0.0)  # most words differ and sentences end: plain prose
     words = [w.strip(STRIP) for w in flat.lower().split()]
     body = [w.rstrip("s") for w in words if len(w) > 2 and w.isalpha()]
     pairs = Counter(zip(body, body[1:]))
-    again = last = 0
-    for i, p in enumerate(zip(body, body[1:])):
-        if pairs[p] > 1:
-            again += 2 if last != i else 1
-            last = i + 1
     key: set[str] = set()
     if pairs:
         best, k = pairs.most_common(1)[0]
@@ -124,8 +120,12 @@ def block_features(block: str) -> tuple | None:
             real += 1
     if real / n > SENTENCES:
         return (lang, size, ratio, n, real / n, 0.0, 0.0, 0.0)  # sentences of their own: whatever else stands there, it is no list
-    listed = sum(m.end() - m.start() for m in LINKS.finditer(flat)) / len(flat) if LISTING.search(flat) else 0.0
-    return (lang, size, ratio, n, real / n, listed, again / max(1, len(words)), len(SEPARATOR.findall(flat)) / n)
+    again = last = 0
+    for i, p in enumerate(zip(body, body[1:])):
+        if pairs[p] > 1:
+            again += 2 if last != i else 1
+            last = i + 1
+    return (lang, size, ratio, n, real / n, listed_share(flat), again / max(1, len(words)), len(SEPARATOR.findall(flat)) / n)
 
 
 def blocks_of(text: str) -> list[str]:

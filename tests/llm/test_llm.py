@@ -260,6 +260,19 @@ def test_stuffed_pages_and_their_doubles(spark):
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
 
 
+def test_would_be_sentences_are_no_prose():
+    t = 'Cheap gutter repair Nashville. Best gutter repair Nashville, call today! Need gutter repair? Ask us! Gutter repair, Nashville: fast work. Honest gutter repair; "Nashville" prices! Gutter repair (Nashville) open late.'
+    lang, size, ratio, n, sentences, listed, said, seps = stuffing.block_features(t)
+    assert sentences <= stuffing.SENTENCES and said >= stuffing.SAID_AGAIN
+    prose = "The council met in May to hear the annual report. Members asked whether the dock would open before winter. No answer was given that day."
+    assert stuffing.block_features(prose)[4] > stuffing.SENTENCES
+
+
+def test_few_links_are_links():
+    assert stuffing.block_features("https://a.example/x https://b.example/y https://c.example/z")[5] >= stuffing.LISTED
+    assert stuffing.block_features("two plain words")[5] == 0 and stuffing.block_features("See www.a.example for full details.")[4] > stuffing.SENTENCES
+
+
 # ---- all
 
 
