@@ -208,11 +208,36 @@ def assignment(a: list[str], b: list[str]) -> int:
     """The least sum of distances of a one-to-one assignment of own words (few words: all orders are tried)."""
     if len(a) != len(b):
         return 99
+    d = [[x if (x := osa(p, q, 2)) <= 2 else 50 for q in b] for p in a]
     if len(a) > 5:
-        a, b = sorted(a), sorted(b)
-        return sum(osa(x, y, 2) for x, y in zip(a, b))
-    d = [[osa(x, y, 2) for y in b] for x in a]
-    return min(sum(d[i][j] if d[i][j] <= 2 else 50 for i, j in enumerate(p)) for p in permutations(range(len(b))))
+        return hungarian(d)
+    return min(sum(d[i][j] for i, j in enumerate(p)) for p in permutations(range(len(b))))
+
+
+def hungarian(d: list[list[int]]) -> int:
+    """The least cost of an assignment in a square matrix: shortest augmenting paths, row by row."""
+    n = len(d)
+    u, v, row = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        row[0], j = i, 0
+        least, way, used = [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while row[j]:
+            used[j] = True
+            for k in range(1, n + 1):
+                if not used[k] and (c := d[row[j] - 1][k - 1] - u[row[j]] - v[k]) < least[k]:
+                    least[k], way[k] = c, j
+            to = min((k for k in range(1, n + 1) if not used[k]), key=least.__getitem__)
+            step = least[to]
+            for k in range(n + 1):
+                if used[k]:
+                    u[row[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+            j = to
+        while j:
+            row[j], j = row[way[j]], way[j]
+    return sum(d[row[k] - 1][k - 1] for k in range(1, n + 1))
 
 
 def near_word(word: str, index: dict[str, set[str]]) -> str | None:

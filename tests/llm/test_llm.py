@@ -130,6 +130,18 @@ def test_variants_of_bodies_and_persons(spark):
     assert spellings.variant_pairs(df.limit(0)).count() == 0
 
 
+def test_long_names_are_assigned_best():
+    from itertools import permutations
+
+    a, b = "greater nashville regional senior health alliance".split(), "greater bashville regional senior health alliance".split()
+    assert spellings.assignment(sorted(a), sorted(b)) == 1
+    rnd = random.Random(11)
+    for _ in range(200):
+        n = rnd.randint(1, 6)
+        d = [[rnd.choice([0, 1, 2, 50]) for _ in range(n)] for _ in range(n)]
+        assert spellings.hungarian(d) == min(sum(d[i][j] for i, j in enumerate(p)) for p in permutations(range(n)))
+
+
 # ---- 5
 
 
