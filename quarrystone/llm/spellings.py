@@ -303,15 +303,19 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def keys(frames):
         for f in frames:
-            rows = [(w, n, k) for w, n in zip(f["word"], f["n"]) for k in (deletes(w, 2 if len(w) >= 8 else 1) if len(w) > 3 else ())]
-            yield pd.DataFrame(rows, columns=["word", "n", "key"])
-
-    ix = words.mapInPandas(keys, "word string, n bigint, key string").withColumn("most", F.max("n").over(Window.partitionBy("key")))
-    # Where a bucket holds a word used more than once, words used once are led to such words only, not to each other: the many
-    # slips of a common word then make no pairs among themselves.
-    a, b = ix.alias("a"), ix.filter("n > 1 or most = 1").alias("b")
+            rows = []
+            for w, n in zip(f["word"], f["n"]):
+                if len(w) > 3:
+                    one = deletes(w)
+                    rows += [(w, n, k, k in one) for k in (deletes(w, 2) if len(w) >= 8 else one)]
+            yield pd.DataFrame(rows, columns=["word", "n", "key", "one"])
+
+    ix = words.mapInPandas(keys, "word string, n bigint, key string, one boolean")
+    a, b = ix.alias("a"), ix.alias("b")
     more = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.word") < F.col("a.word")))
-    pairs = a.join(b, "key").filter((F.col("a.word") != F.col("b.word")) & more).select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("lead"), F.col("b.n").alias("m")).distinct()
+    # Two edits only lead to a far more frequent word, and words one edit apart share a key that one deletion reaches.
+    near = (F.col("a.one") & F.col("b.one")) | ((F.col("a.n") <= RARE) & (F.col("b.n") >= FAR * F.col("a.n")))
+    pairs = a.join(b, "key").filter((F.col("a.word") != F.col("b.word")) & more & near).select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("lead"), F.col("b.n").alias("m")).distinct()
 
     @F.pandas_udf("int")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -142,6 +142,18 @@ def test_long_names_are_assigned_best():
         assert spellings.hungarian(d) == min(sum(d[i][j] for i, j in enumerate(p)) for p in permutations(range(n)))
 
 
+def test_every_near_word_is_compared(spark):
+    rnd = random.Random(12)
+    words = {"marlin": 1, "maplin": 1, "malina": 2} | {"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 9))): rnd.choice([1, 1, 1, 2, 9, 30]) for _ in range(150)}
+    got = {(r.word, r.lead): r.d for r in spellings.near_words(spark.createDataFrame(list(words.items()), "word string, n bigint")).collect()}
+    assert got["marlin", "maplin"] == 1
+    for a, n in words.items():
+        for b, m in words.items():
+            if a != b and (m, a) > (n, b) and spellings.osa(a, b, 1) == 1:
+                assert got[a, b] == 1
+    assert all(d == spellings.osa(a, b, 2) and (d < 2 or words[b] >= spellings.FAR * words[a]) for (a, b), d in got.items())
+
+
 # ---- 5
 
 
