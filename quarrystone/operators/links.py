@@ -37,8 +37,8 @@ def definitions(sts: DataFrame) -> DataFrame:
 def defined_links(sts: DataFrame) -> DataFrame:
     """(definition, id, phrase): statements of other sources that use a defined phrase, the first definition of each. Looked up by
     the phrase's first word, so statements are not compared with all definitions."""
-    d = definitions(sts).select(F.col("id").alias("definition"), F.col("doc").alias("ddoc"), "phrase", F.regexp_extract("phrase", r"^(\w+)", 1).alias("w")).filter("w <> ''")
-    t = sts.select("id", "doc", fold("text").alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(fold("text"), F.lit(r"\w+"), F.lit(0)))).alias("w"))
+    d = definitions(sts).select(F.col("id").alias("definition"), F.col("doc").alias("ddoc"), "phrase", F.regexp_extract("phrase", r"^([\p{L}\p{M}\p{N}_]+)", 1).alias("w")).filter("w <> ''")
+    t = sts.select("id", "doc", fold("text").alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(fold("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0)))).alias("w"))
     hit = t.join(d, "w").filter((F.col("doc") != F.col("ddoc")) & F.contains("t", F.col("phrase")))
     w = Window.partitionBy("id", "phrase").orderBy("definition")
     return hit.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("definition", "id", "phrase")

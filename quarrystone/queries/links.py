@@ -57,6 +57,12 @@ def defined_links(t):
     return lk.defined_links(s)
 
 
+@query()
+def defined_links_all(t):
+    """The same over all statements, whatever their letters."""
+    return lk.defined_links(t.obs.select("id", F.col("token").alias("doc"), F.col("verbatim").alias("text")))
+
+
 @query("""SELECT c.token AS id, c.party AS value, n.name FROM contracts c JOIN (SELECT trim(lower(party)) AS k, min(party) AS name FROM contracts WHERE regexp_matches(party,'^[A-Z][a-z]+ [A-Z][a-z]+$') GROUP BY 1) n ON n.k=trim(lower(c.party)) WHERE regexp_full_match(c.party,'[ -~]+')""")
 def named_cells(t):
     """Cells that are a known name, case aside."""
@@ -116,15 +122,21 @@ def structure_bigrams(t):
 
 
 @query("""SELECT page, eye, text FROM (SELECT token AS page, kind AS eye, verbatim AS text, row_number() OVER (PARTITION BY token ORDER BY length(regexp_replace(coalesce(verbatim,''),'\\s','','g'))*(CASE WHEN kind='clause' THEN 1.15 ELSE 1 END) DESC, kind, id) AS r FROM (SELECT DISTINCT token, kind, min(id) AS id, verbatim FROM obs WHERE token IS NOT NULL AND kind<>'' AND regexp_full_match(verbatim,'[ -~\\n]*') GROUP BY 1,2,4)) WHERE r=1""")
-def page_choice(t):
+def page_choice(t, texts=r"\A[ -~\n]*\z"):
     """Of several readings the fullest, with a margin for the preferred eye."""
-    o = t.obs.filter("token is not null and kind <> ''").filter(F.col("verbatim").rlike(r"\A[ -~\n]*\z")).groupBy("token", "kind", "verbatim").agg(F.min("id").alias("id"))
+    o = t.obs.filter("token is not null and kind <> ''").filter(F.col("verbatim").rlike(texts)).groupBy("token", "kind", "verbatim").agg(F.min("id").alias("id"))
     o = o.select(F.col("token").alias("page"), F.col("kind").alias("eye"), F.col("verbatim").alias("text"), "id")
     n = F.length(F.regexp_replace("text", r"\s", ""))
     w = Window.partitionBy("page").orderBy((n * F.when(F.col("eye") == "clause", 1.15).otherwise(1.0)).desc(), "eye", "id")
     return o.withColumn("r", F.row_number().over(w)).filter("r = 1").select("page", "eye", "text")
 
 
+@query()
+def page_choice_all(t):
+    """The same over all readings that have a text, whatever its signs."""
+    return page_choice(t, "")
+
+
 WORDS = "SELECT id AS doc, CAST(0 AS INTEGER) AS page, CAST(i-1 AS INTEGER) AS seq, w AS word FROM (SELECT id, unnest(regexp_extract_all(coalesce(verbatim,''),'[A-Za-z]+')) AS w, generate_subscripts(regexp_extract_all(coalesce(verbatim,''),'[A-Za-z]+'),1) AS i FROM obs)"
 
 

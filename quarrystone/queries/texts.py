@@ -78,12 +78,18 @@ def repeated_lines(t):
 
 
 @query("""SELECT token, regexp_replace(lower(party),'^the\\s+','') AS key, levenshtein(lower(party),'kenneth amblobridge') AS d, round(1-levenshtein(lower(party),'kenneth amblobridge')/greatest(length(party),19),6) AS sim FROM contracts WHERE regexp_full_match(party,'[ -~]+') AND NOT contains(party,'  ') AND trim(party)=party""")
-def name_similarity(t):
-    p = t.contracts.filter(F.col("party").rlike("^[ -~]+$") & ~F.contains("party", F.lit("  ")) & (F.trim("party") == F.col("party")))
+def name_similarity(t, where=r"party rlike r'^[ -~]+$' and not contains(party, '  ') and trim(party) = party"):
+    p = t.contracts.filter(where)
     l = F.lower("party")
     return p.select("token", sc.referent_key("party").alias("key"), F.levenshtein(l, F.lit("kenneth amblobridge")).cast("bigint").alias("d"), F.round(sc.similarity(l, F.lit("kenneth amblobridge")), 6).alias("sim"))
 
 
+@query()
+def name_similarity_all(t):
+    """The same over all parties, whatever their letters and blanks."""
+    return name_similarity(t, "party is not null")
+
+
 @query("""SELECT event_id, CASE WHEN v//3600>0 THEN (v//3600)||':'||lpad(CAST((v//60)%60 AS VARCHAR),2,'0')||':'||lpad(CAST(v%60 AS VARCHAR),2,'0') ELSE (v//60)||':'||lpad(CAST(v%60 AS VARCHAR),2,'0') END AS clock FROM (SELECT event_id, CAST(floor(value*30) AS BIGINT) AS v FROM events)""")
 def clock_format(t):
     return t.events.select("event_id", sc.clock(F.col("value") * 30).alias("clock"))
@@ -117,6 +123,13 @@ def surface_counts(t):
     return t.documents.filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", sc.surface_count("text", "the").alias("n"))
 
 
+@query()
+def surface_counts_all(t):
+    """The same over all documents that have a text, whatever its letters."""
+    whole = r"(?<![\p{L}\p{M}\p{N}_])the(?![\p{L}\p{M}\p{N}_])"
+    return t.documents.filter("text is not null").select("doc_id", F.regexp_count(F.lower("text"), F.lit(whole)).alias("n"))
+
+
 @query("""WITH x AS (SELECT o_orderkey, 'A '||CAST(o_totalprice AS VARCHAR) AS s, o_totalprice AS v FROM orders) SELECT o_orderkey, v>=50000 AS big, left(s,1) AS head FROM x""")
 def columns_projected(t):
     """A plain projection, pruned to two columns."""

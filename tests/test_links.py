@@ -110,3 +110,21 @@ def test_pairs_of_every_kind(spark):
     cos = {(a, b): len(bags[a][1] & bags[b][1]) / (len(bags[a][1]) * len(bags[b][1])) ** 0.5 for a, b in want}
     assert {(r.a, r.b) for r in ql.echo_cosine_all(t).collect()} == {k for k, c in cos.items() if c >= 0.3}
     assert (0, 1) in {(r.a, r.b) for r in ql.read_across(t).collect()}
+
+
+def test_rows_of_any_letters(spark):
+    from types import SimpleNamespace
+
+    from quarrystone.queries import links as ql
+    from quarrystone.queries import texts as qt
+
+    obs = [(1, "a", "clause", 'The "Жilet Fee" means a charge – once.'), (2, "b", "notice", "A жilet fee “is” due"), (3, "b", "clause", "short")]
+    t = SimpleNamespace(
+        documents=spark.createDataFrame([(1, "The “the” naïve the"), (2, "éthe thé theж the"), (3, "the"), (4, None)], "doc_id bigint, text string"),
+        contracts=spark.createDataFrame([("a", "Kenneth  Amblobridge"), ("b", " Kenneth Amblobridge"), ("c", "Kenneth Amblöbridge"), ("d", None)], "token string, party string"),
+        obs=spark.createDataFrame(obs, "id bigint, token string, kind string, verbatim string"),
+    )
+    assert rows(qt.surface_counts_all(t)) == [(1, 3), (2, 1), (3, 1)]
+    assert [(r.token, r.d) for r in qt.name_similarity_all(t).orderBy("token").collect()] == [("a", 1), ("b", 1), ("c", 1)]
+    assert rows(ql.defined_links_all(t)) == [(1, 2, "жilet fee")]
+    assert rows(ql.page_choice_all(t)) == [("a", "clause", obs[0][3]), ("b", "notice", obs[1][3])]
