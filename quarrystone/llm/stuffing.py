@@ -1,10 +1,12 @@
 """Keyword-stuffed pages, link lists and tag lists.
 
 Each text is cut into blocks (paragraphs). A block's compression ratio is divided by the usual ratio of prose blocks of its
-language and length, learned over the whole corpus; extreme redundancy flags it. Low density of sentence punctuation confirms:
-only ends of real sentences count, that is of units of some length that don't merely repeat the block's keyword. Blocks made
-of links, tags or catalogue numbers needn't be redundant; they are flagged by the share of such items and confirmed alike.
-A document is a case if more than half of its words stand in flagged blocks.
+language and length, learned over the whole corpus; a block is flagged where that leaves extreme redundancy. Two things are
+evened out before compressing, so that the ratio measures what is said rather than how it is set: signs between words count
+for nothing, and a link, a hashtag, a labelled tag, a trail of menus, a counted label or a stock number stands as one and the
+same sign. A list of links is then the most redundant text there is, and prose with a link in it stays prose. Low density
+of sentence punctuation confirms: only ends of real sentences count, that is of units of some length that don't merely repeat
+the block's keyword. A document is a case if more than half of its words stand in flagged blocks.
 
 Null, empty and blank texts have no words and are no case. Repeated rows each get their own result. Language is read off the
 text (script and function words), as the stored one may be null or wrong.
@@ -18,33 +20,34 @@ import zlib
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.session import cut
 
-#: A block is redundant below this share of the usual ratio, and so much so below the second that its words needn't repeat.
-REDUNDANT, EXTREME = 0.92, 0.6
+#: A block is extremely redundant below this share of the usual ratio.
+EXTREME = 0.85
 #: Real sentence ends per word, at most.
 SENTENCES = 0.02
-#: Share of characters in links, tags and catalogue numbers, at least.
-LISTED = 0.5
-#: Share of words in word pairs said twice or more, at least.
-SAID_AGAIN = 0.3
-#: The same where short items stand between separators, and how many of these a word has there.
-SAID_IN_LIST, SEPARATORS = 0.15, 0.2
+#: Prose blocks that a language and length need for a usual ratio of their own; below, all languages of the length tell.
+ENOUGH = 20
 
 NEWLINE = r"(?:\r\n?|[\n\x85\u2028\u2029])"
 PARAGRAPH = re.compile(NEWLINE + r"[^\S\n\r]*(?:" + NEWLINE + r"[^\S\n\r]*)+")
 PLAIN = re.compile(r"\n[ \t\x0b\f]*(?:\n[ \t\x0b\f]*)+")
 CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 END = re.compile(r"(?:(?<![.!?؟])[.!?؟]++[\"'”’)\]]*+(?=\s|$)|[。！？]+)")
-RUN = re.compile(r"(\W)\1{3,}")
+#: What counts as one link or tag, in lower-case text: Markdown and HTML links and other markup, addresses with a remark,
+#: hashtags, labelled tags, stock numbers with their goods, counted labels, trails of menus.
 LINKS = re.compile(
-    r"\[[^\]\n]{0,300}\]\([^)\s]{0,2000}\)|<a\s[^>]{0,2000}>[^<]{0,300}</a>|(?<!\S)(?:[^\s|,;>]+ ){0,3}- (?=https?://)|(?:https?://|www\.)\S+(?:\s+\([^)\n]{0,300}\))?"
-    r"|#\w+|\btags?:\S+|\bSKU \d+(?: [^\W\d]+){0,3}(?: \d+\w*)?|\b[^\W\d]++(?: [^\W\d]++)? \(\d+\)|(?<!\S)(?:[^\s>|,;]++ ){1,3}> |<br>"
+    r"\[[^\]\n]{0,300}\]\([^)\s]{0,2000}\)|<a\s[^>]{0,2000}>[^<]{0,300}</a>|<[^>]{0,200}>|(?:https?://|www\.)\S+(?:\s+\([^)\n]{0,300}\))?|#\w+"
+    r"|\b(?:tags?|category|label):\S+|\bsku \d+(?: [^\W\d]+){0,3}(?: \d+\w*)?|\b[^\W\d]++(?: [^\W\d]++)? \(\d+\)"
+    r"|(?<![^\s|,;>])(?:[^\s>|,;]{1,40}+ ){1,3}>(?: [^\s>|,;]{1,40}+){1,3}(?: >(?: [^\s>|,;]{1,40}+){1,3})*+"
 )
-LISTING = re.compile(r"://|www\.|[#<>(]|\btags?:|\bSKU ")
+LISTING = re.compile(r"://|www\.|[#<>(]|\b(?:tags?|category|label):|\bsku ")
+ONE = "\x01"
+#: What stands between words, with the plural s before it; the sign of a link is a word of its own.
+BETWEEN, BETWEEN_LINKS = re.compile(r"s?[\W_]+"), re.compile(r"s?[^\w\x01]+")
 # Frequent function words by language, to tell languages of one script apart.
 FUNCTION_WORDS = {
     "en": {"the", "of", "and", "to", "in", "that", "is", "for", "was", "with"},
@@ -60,7 +63,6 @@ LANGUAGE_OF = {w: k for k, ws in FUNCTION_WORDS.items() for w in ws}
 NOT_LATIN = re.compile(r"[\u0370-\u1dff\u2c00-\ud7ff]")
 SCRIPTS = ((0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "arabic"), (0x780, "other"), (0x900, "indic"), (0xE00, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"))
 KANA = re.compile("[\u3040-\u30ff]")
-SEPARATOR = re.compile(r"[|\u00b7\u2022;,>/\n]| - ")
 STRIP = ".,;:!?()[]|/\u00b7>\"'#"
 
 
@@ -73,44 +75,41 @@ def language(text: str, words: set[str]) -> str:
     return k if FUNCTION_WORDS[k] & words else "latin"
 
 
-def listed_share(text: str) -> float:
-    return sum(m.end() - m.start() for m in LINKS.finditer(text)) / len(text) if LISTING.search(text) else 0.0
+def redundancy(block: str) -> tuple[int, float]:
+    """(bytes of the words, what compression leaves of them once links are one sign)."""
+    low = block.lower()
+    plain = BETWEEN.sub(" ", low).encode("utf-8", "replace")
+    folded = BETWEEN_LINKS.sub(" ", LINKS.sub(ONE, low)).encode("utf-8", "replace") if LISTING.search(low) else plain
+    return len(plain), len(zlib.compress(folded, 6)) / max(1, len(plain))
+
+
+def keyword(words: list[str]) -> set[str]:
+    """The words of a block's keyword: its commonest pair, said three times or more, and a long word that every eighth is."""
+    body = [w.rstrip("s") for w in words if len(w) > 2 and w.isalpha()]
+    pairs = Counter(zip(body, body[1:]))
+    if not pairs:
+        return set()
+    best, k = pairs.most_common(1)[0]
+    key = set(best) if k > 2 else set()
+    longest = Counter(w for w in body if len(w) > 4).most_common(1)
+    if longest and longest[0][1] > 2 and longest[0][1] / len(words) > 0.12:
+        key.add(longest[0][0])
+    return key - LANGUAGE_OF.keys()
 
 
 def block_features(block: str) -> tuple | None:
-    """(language, length class, ratio, words, real sentence ends per word, share listed, share said again, separators)."""
+    """(language, length class, compression ratio, words, real sentence ends per word)."""
     raw = block.split()
     cjk = 0 if block.isascii() else len(CJK.findall(block))
     n = len(raw) + cjk // 2
     if not n:
         return None
-    if n < 6:  # too short for a ratio, but it may be made of links
-        full = any(len(u.split()) >= 5 for u in END.split(block)[:-1])
-        return ("", 0, None, n, full / n, listed_share(block), 0.0, 0.0)
-    flat = block
-    lang = language(flat, set(block.lower().split()))
-    data = flat.encode("utf-8", "replace")
-    ratio = len(zlib.compress(data, 6)) / len(data)
-    if ratio < 0.6 and (short := RUN.sub(r"\1\1\1", flat)) != flat:
-        flat = short  # a long run of one sign is no redundancy of words
-        data = flat.encode("utf-8", "replace")
-        ratio = len(zlib.compress(data, 6)) / len(data)
-    size = int(math.log2(len(data)) * 2)
-    words = [w.strip(STRIP) for w in flat.lower().split()]
-    body = [w.rstrip("s") for w in words if len(w) > 2 and w.isalpha()]
-    pairs = Counter(zip(body, body[1:]))
-    key: set[str] = set()
-    if pairs:
-        best, k = pairs.most_common(1)[0]
-        if k > 2:
-            key |= set(best)
-        long_words = Counter(w for w in body if len(w) > 4).most_common(1)
-        if long_words and long_words[0][1] > 2 and long_words[0][1] / len(words) > 0.12:
-            key.add(long_words[0][0])
-        key -= LANGUAGE_OF.keys()
+    size, ratio = redundancy(block)
+    words = [w.strip(STRIP) for w in block.lower().split()]
+    key = keyword(words)
     real = at = 0
-    for m in END.finditer(flat):
-        unit = flat[at : m.start()]
+    for m in END.finditer(block):
+        unit = block[at : m.start()]
         at = m.end()
         if cjk and CJK.search(unit):
             real += len(unit) >= 8
@@ -118,14 +117,7 @@ def block_features(block: str) -> tuple | None:
         ws = unit.lower().split()
         if len(ws) >= 5 and not (key and sum(w.strip(STRIP).rstrip("s") in key for w in ws) / len(ws) > 0.22):
             real += 1
-    if real / n > SENTENCES:
-        return (lang, size, ratio, n, real / n, 0.0, 0.0, 0.0)  # sentences of their own: whatever else stands there, it is no list
-    again = last = 0
-    for i, p in enumerate(zip(body, body[1:])):
-        if pairs[p] > 1:
-            again += 2 if last != i else 1
-            last = i + 1
-    return (lang, size, ratio, n, real / n, listed_share(flat), again / max(1, len(words)), len(SEPARATOR.findall(flat)) / n)
+    return (language(block, set(words)), int(math.log2(max(2, size)) * 2), ratio, n, real / n)
 
 
 def blocks_of(text: str) -> list[str]:
@@ -155,33 +147,26 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
                     x = block_features(b)
                     if x:
                         rows.append((k, *x))
-            yield pd.DataFrame(rows, columns=["key", "lang", "size", "ratio", "words", "sentences", "listed", "said", "seps"])
+            yield pd.DataFrame(rows, columns=["key", "lang", "size", "ratio", "words", "sentences"])
 
     src = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    return src.mapInPandas(run, f"key {kind}, lang string, size int, ratio double, words int, sentences double, listed double, said double, seps double")
-
-
-def flagged(redundancy: Column) -> Column:
-    quiet = F.col("sentences") <= SENTENCES
-    again = (F.col("said") >= SAID_AGAIN) | ((F.col("said") >= SAID_IN_LIST) & (F.col("seps") >= SEPARATORS))
-    keywords = (redundancy < REDUNDANT) & (again | (redundancy < EXTREME))
-    return F.coalesce(quiet & (keywords | (F.col("listed") >= LISTED)), F.lit(False))
+    return src.mapInPandas(run, f"key {kind}, lang string, size int, ratio double, words int, sentences double")
 
 
 def page_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, words, stuffed_words, share): one row per document that has words. The table of usual ratios has a row per
     language and length class, a few hundred at any size of corpus, so it is broadcast."""
     b = cut(blocks(df, key, text), "blocks")
-    prose = b.filter((F.col("sentences") > SENTENCES) & F.col("ratio").isNotNull())
+    prose = b.filter(F.col("sentences") > SENTENCES)
     usual = prose.groupBy("lang", "size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count("*").alias("n"))
     by_size = prose.groupBy("size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual_any"))
     scored = (
-        b.join(F.broadcast(usual.filter("n >= 20").drop("n")), ["lang", "size"], "left")
+        b.join(F.broadcast(usual.filter(F.col("n") >= ENOUGH).drop("n")), ["lang", "size"], "left")
         .join(F.broadcast(by_size), "size", "left")
         .withColumn("redundancy", F.col("ratio") / F.coalesce("usual", "usual_any", F.lit(0.6)))
     )
     return (
-        scored.withColumn("bad", flagged(F.col("redundancy")))
+        scored.withColumn("bad", (F.col("redundancy") < EXTREME) & (F.col("sentences") <= SENTENCES))
         .groupBy(F.col("key").alias(key))
         .agg(F.sum("words").alias("words"), F.sum(F.when(F.col("bad"), F.col("words")).otherwise(0)).alias("stuffed_words"))
         .withColumn("share", F.col("stuffed_words") / F.col("words"))

@@ -286,15 +286,32 @@ def test_stuffed_pages_and_their_doubles(spark):
 
 def test_would_be_sentences_are_no_prose():
     t = 'Cheap gutter repair Nashville. Best gutter repair Nashville, call today! Need gutter repair? Ask us! Gutter repair, Nashville: fast work. Honest gutter repair; "Nashville" prices! Gutter repair (Nashville) open late.'
-    lang, size, ratio, n, sentences, listed, said, seps = stuffing.block_features(t)
-    assert sentences <= stuffing.SENTENCES and said >= stuffing.SAID_AGAIN
+    assert stuffing.block_features(t)[4] <= stuffing.SENTENCES
     prose = "The council met in May to hear the annual report. Members asked whether the dock would open before winter. No answer was given that day."
     assert stuffing.block_features(prose)[4] > stuffing.SENTENCES
 
 
-def test_few_links_are_links():
-    assert stuffing.block_features("https://a.example/x https://b.example/y https://c.example/z")[5] >= stuffing.LISTED
-    assert stuffing.block_features("two plain words")[5] == 0 and stuffing.block_features("See www.a.example for full details.")[4] > stuffing.SENTENCES
+def test_a_link_is_one_sign_to_the_compressor():
+    links, words = "https://a.example/x https://b.example/y https://c.example/z", "two plain words of this length and nothing else, they say"
+    assert stuffing.redundancy(links)[1] < 0.5 * stuffing.redundancy(words)[1]
+    for t in ("tag:dock-lease tag:pump-roof", "dock > lease > roof\npump > audit > fence", "roof (12), dock (4), fence (77)", "#dock #roof #lease", "[a](http://x.y/z) [b](http://x.y/w)"):
+        assert stuffing.LINKS.sub(stuffing.ONE, t).count(stuffing.ONE) >= 2
+
+
+def test_compression_decides(spark, monkeypatch):
+    """With the ratio taken out no page is found; with the punctuation taken out schedules and rolls come in."""
+    rnd = random.Random(19)
+    nouns = "dock lease grant valve audit fence pump roof board trail permit storm".split()
+    docs = [(i, " ".join(f"The {rnd.choice(nouns)} near the {rnd.choice(nouns)} was moved by {rnd.randint(2, 99)} people before the {rnd.choice(nouns)} could open." for _ in range(rnd.randint(3, 9)))) for i in range(200)]
+    spam = [(900 + i, "\n".join(f"https://x.example/{rnd.choice(nouns)}/{rnd.randint(1, 9999)}" for _ in range(30))) for i in range(5)]
+    said_again = [(950, " ".join(["The dock was moved by nine people before the roof could open."] * 40))]
+    df = spark.createDataFrame(docs + spam + said_again, "doc_id bigint, text string")
+    found = lambda: {r.doc_id for r in stuffing.stuffed_pages(df).collect()}
+    monkeypatch.setattr(stuffing, "keyword", lambda words: set())  # so that what is said again counts as sentences
+    assert found() == {i for i, _ in spam}
+    monkeypatch.setattr(stuffing, "SENTENCES", 99)
+    monkeypatch.setattr(stuffing, "EXTREME", 0.0)
+    assert found() == set()
 
 
 # ---- all
