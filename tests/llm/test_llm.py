@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,52 @@ def test_learning_from_nothing(spark):
     assert scans.scan_noise(e, ["id"], scans.learn(e)).count() == 0
 
 
+def test_misreadings_share_their_strokes():
+    for read, meant in scans.MISREAD.items():
+        for m in meant:
+            assert read.translate(scans.STROKES) == m.translate(scans.STROKES), (read, m)
+            assert scans.misreads("x" + read + "p", "x" + m + "p") == 1 and not m.startswith(read[0])
+    assert scans.misreads("siimmarv", "summary") == 2 and scans.misreads("hand", "hand") == 0 and scans.misreads("hydrant", "hydrate") == 3
+    assert scans.misreads("a" * 5000 + "rn" + "b" * 900, "a" * 5000 + "m" + "b" * 900) == 1
+
+
+def test_both_ways_of_looking_up_agree(spark):
+    df = scanned(spark).filter("text is not null")
+    m = scans.learn(df.filter(F.length("text") > 0))
+    at_hand = sorted(map(str, scans.scan_noise(df, ["id"], m).collect()))
+    assert at_hand == sorted(map(str, scans.scan_noise(df, ["id"], m, 0).collect()))
+
+
+def vector_world(spark):
+    """modem is read for modern beside roofs; modem is also a word of its own, beside networks."""
+    rnd = random.Random(15)
+    roof = "the modern roof and the modern beam of a tower stand over the street".split()
+    net = "with one router each modem joins our network so every modem sends data".split()
+    rows = [" ".join(rnd.choice(roof) for _ in range(40)) for _ in range(150)] + [" ".join(rnd.choice(net) for _ in range(40)) for _ in range(12)]
+    rows += ["the modcrn roof and the beam"] * 3
+    return spark.createDataFrame(list(enumerate(rows)), "id bigint, text string")
+
+
+def test_vectors_decide_what_is_a_misreading(spark, monkeypatch):
+    """A rare word is linked to a glyph neighbour only where that one's vector explains its contexts: with the vectors taken out,
+    a word of its own is rewritten."""
+    df = vector_world(spark)
+    kinds = lambda: {r.id: r.kinds for r in scans.scan_noise(df, ["id"], scans.learn(df)).collect()}
+    got = kinds()
+    assert got[162] == ["misread"] and not any(got[i] for i in range(150, 162))
+    monkeypatch.setattr(scans, "vectors", lambda x, u, noise, steps=30: np.zeros((len(x), u.shape[1]), np.float32))
+    assert any(kinds()[i] for i in range(150, 162))
+
+
+def test_headers_beyond_any_number_of_shapes(spark):
+    """Running lines of very many files: each is found, however many other shapes are used more."""
+    rows = [(i, f"the council shall inspect\n- {i % 9 + 1} -\nNotice Board {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'klmnopqrst'[i // 100]}\nthe hydrant {chr(97 + i % 26)}{i}") for i in range(1000) for _ in range(2)]
+    rows += [(5000 + i, f"word{i} then the\n- {i} -\nLast Header Line\nend{i} of it") for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = {r.id: r.kinds for r in scans.scan_noise(df, ["id"], scans.learn(df), 0).collect()}
+    assert all("header" in got[5000 + i] for i in range(1, 4))
+
+
 # ---- 6
 
 
@@ -351,7 +398,7 @@ def test_long_texts_take_time_in_proportion(name):
     import time
 
     t = LONG[name]
-    model = scans.Model({"word": 900, "cutting": 500, "of": 900}, {}, set(), {}, __import__("numpy").zeros((0, 1)), True)
+    model = scans.Model([("w", "vvord", None, [{"target": "word", "less": -9.0, "vec": None}]), ("s", "worcl", None, None)], [], np.zeros((0, scans.DIM), np.float32))
     began = time.time()
     personal.find(t)
     [stuffing.block_features(b) for b in stuffing.blocks_of(t)]
