@@ -1,11 +1,14 @@
 """Variant spellings of names typed by people.
 
-A value is read into a kind (body or person), its own words, the trade it names, its legal form, its number, and what was typed
-around it (branches, articles). Own words go through a symmetric-delete index: two words are neighbours if they share a string
-reached by deleting at most one character from each and their optimal-string-alignment distance is small; each word is led to
-the neighbour that most values use. Values whose led words meet are aligned by optimal assignment of their own words, where an
-initial may stand for a name, a short form for its name and an abbreviation for a trade; legal forms are ignored, numbers must
-agree. A value that leaves something out (the trade, a given name) joins a group only if a single group fits it.
+A value is read into its words (legal forms and articles dropped, trades by their usual names), its number and its kind (body,
+person, or undecided). Values of the same words are one reading. A symmetric-delete index over the distinct words finds small
+edit distances: two words are neighbours if they share a string reached by deleting a character or two from each. Readings
+that share two such words, or one and the beginning or the outline of another, are candidates; each two are aligned by
+optimal assignment of all their words, where an initial may stand for a name, a short form for its name, and a word cut
+short or with letters left out for its full form; a trade or a middle initial may be missing. Numbers must agree.
+
+What is only misspelt is joined at once. A reading that leaves something out or shortens a word joins the group it fits best,
+and only if there is just one such group: "K. Amblobridge" stays by itself between a Kenneth and a Karen.
 
 Nulls, empties and placeholders for no or many parties are left out. Values are compared as stored, case and blanks included.
 """
@@ -15,12 +18,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from itertools import permutations
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.operators.graph import components
 from quarrystone.session import cut
 
 # Trades with the ways they are shortened; any word of a line stands for its first.
@@ -204,20 +208,10 @@ def deletes(word: str, depth: int = 1) -> set[str]:
     return out
 
 
-def assignment(a: list[str], b: list[str]) -> int:
-    """The least sum of distances of a one-to-one assignment of own words (few words: all orders are tried)."""
-    if len(a) != len(b):
-        return 99
-    d = [[x if (x := osa(p, q, 2)) <= 2 else 50 for q in b] for p in a]
-    if len(a) > 5:
-        return hungarian(d)
-    return min(sum(d[i][j] for i, j in enumerate(p)) for p in permutations(range(len(b))))
-
-
-def hungarian(d: list[list[int]]) -> int:
-    """The least cost of an assignment in a square matrix: shortest augmenting paths, row by row."""
+def optimal(d: list[list[float]]) -> list[int]:
+    """The column of each row in a cheapest assignment of a square matrix: shortest augmenting paths, row by row."""
     n = len(d)
-    u, v, row = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    u, v, row = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
     for i in range(1, n + 1):
         row[0], j = i, 0
         least, way, used = [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
@@ -237,7 +231,10 @@ def hungarian(d: list[list[int]]) -> int:
             j = to
         while j:
             row[j], j = row[way[j]], way[j]
-    return sum(d[row[k] - 1][k - 1] for k in range(1, n + 1))
+    out = [0] * n
+    for k in range(1, n + 1):
+        out[row[k] - 1] = k - 1
+    return out
 
 
 def near_word(word: str, index: dict[str, set[str]]) -> str | None:
@@ -277,8 +274,76 @@ def person(x: dict) -> tuple[str, list[str]] | None:
     return None
 
 
+#: What aligned words cost: a short form, an initial or abbreviation, something left out, an edit; more than MOST is no variant.
+NICK, SHORT, LEFT_OUT, MIDDLE, MOST = 0.4, 0.5, 0.6, 0.2, 3.0
+NEVER = 99.0
+
+
+def abbreviates(a: str, b: str) -> bool:
+    """Whether the shorter word is the other cut short, or its outline: first and last letter and some between, in order."""
+    a, b = sorted((a, b), key=len)
+    if len(a) < 2 or len(b) - len(a) < 2 or a[0] != b[0]:
+        return False
+    if len(a) > 2 and b.startswith(a):
+        return True
+    rest = iter(b)
+    return all(c in rest for c in a) and (a[-1] == b[-1] or not set(a[1:]) & set("aeiouy"))
+
+
+def word_cost(a: str, b: str) -> float:
+    """What it costs that two words stand for each other; trades begin with a star."""
+    if a == b:
+        return 0.0
+    trade = (a[0] == "*") + (b[0] == "*")
+    if trade == 2:
+        return NEVER
+    x, y = a.lstrip("*"), b.lstrip("*")
+    if len(x) == 1 or len(y) == 1:
+        return SHORT if not trade and any(p[0] == q[0] for p in GIVEN.get(x, [x]) for q in GIVEN.get(y, [y])) else NEVER
+    if not trade and set(GIVEN.get(x, [x])) & set(GIVEN.get(y, [y])):
+        return NICK
+    if x in GIVEN and y in GIVEN:
+        return NEVER  # both are names of their own
+    if min(len(x), len(y)) > 3 and (d := osa(x, y, 2)) <= (2 if min(len(x), len(y)) > 7 else 1):
+        return float(d)
+    return SHORT if abbreviates(x, y) else NEVER
+
+
+def align(a: list[str], b: list[str]) -> tuple[float, bool] | None:
+    """(cost, whether something is shortened or left out) of the optimal assignment of the words of two values, or None if they
+    don't stand for the same. At least one own word must be there on both sides, and most of the shorter side."""
+    if len(a) > len(b):
+        a, b = b, a
+    no_trade = [not any(w[0] == "*" for w in x) for x in (a, b)]
+
+    def alone(w: str, other: int) -> float:
+        return MIDDLE if len(w) == 1 else LEFT_OUT if w[0] == "*" and no_trade[other] else NEVER
+
+    d = [[min(word_cost(x, y), alone(x, 1) + alone(y, 0)) for y in b] for x in a]
+    d += [[alone(y, 0) for y in b] for _ in range(len(b) - len(a))]
+    to = optimal(d)
+    total = sum(d[i][j] for i, j in enumerate(to))
+    if total > MOST:
+        return None
+    loose, own, met = False, 0, 0
+    for i, x in enumerate(a):
+        y = b[to[i]]
+        c = word_cost(x, y)
+        if c >= NEVER or c > d[i][to[i]]:
+            loose |= x[0] == "*" or y[0] == "*"
+            continue
+        met += 1
+        own += x[0] != "*" and y[0] != "*" and min(len(x), len(y)) > 2 and c not in (SHORT, NICK)
+        loose |= c in (SHORT, NICK)
+    loose |= any(b[j][0] == "*" for j in to[len(a) :])
+    singles = sum(len(w) == 1 for w in a + b)
+    if not own or met < min(2, len([w for w in b if w[0] != "*"])) or singles and met < 2:
+        return None
+    return total, loose
+
+
 def readings(df: DataFrame, party: str) -> DataFrame:
-    """One row per distinct value that names one party."""
+    """(value, reading, words, number, kind): one row per distinct value that names one party. kind: b a body, p a person, u either."""
 
     def run(frames):
         for f in frames:
@@ -287,13 +352,14 @@ def readings(df: DataFrame, party: str) -> DataFrame:
                 x = read(v)
                 if not x:
                     continue
-                who = person(x)
-                own = sorted([who[0]] if who else x["own"])
-                rows.append((v, own, " ".join(x["trades"]), x["number"], who[1] if who else []))
-            yield pd.DataFrame(rows, columns=["value", "own", "trade", "number", "given"])
+                body = x["trades"] or x["form"] or x["number"] or x["joined"]
+                kind = "b" if body else "p" if person(x) else "u"
+                words = sorted(x["own"]) + ["*" + t for t in x["trades"]]
+                rows.append((v, " ".join([kind, x["number"], *words]), words, x["number"], kind))
+            yield pd.DataFrame(rows, columns=["value", "reading", "words", "number", "kind"])
 
     values = df.select(F.col(party).alias("value")).filter(F.trim("value") != "").distinct()
-    return values.mapInPandas(run, "value string, own array<string>, trade string, number string, given array<string>")
+    return values.mapInPandas(run, "value string, reading string, words array<string>, number string, kind string")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -329,85 +395,108 @@ def near_words(words: DataFrame) -> DataFrame:
 RARE, FAR = 2, 8
 
 
-def led(values: DataFrame) -> DataFrame:
-    """values + lead: the own words that most values can be led to. Every value votes for each combination of leads of its
-    words (its own included); each then takes the combination with most votes, then of least distance."""
-    said = values.select("value", "own", "number", F.explode("own").alias("word"))
-    near = cut(near_words(said.groupBy("word").agg(F.count_distinct("value").alias("n"))), "near")
-    sets = values.select("own", "number").distinct().withColumn("id", F.concat_ws(" ", "own"))
-    opts = (
-        sets.select("id", "number", "own", F.posexplode("own").alias("pos", "word"))
-        .join(near, "word")
-        .groupBy("id", "number")
-        .agg(F.first("own").alias("own"), F.collect_list(F.struct("pos", "lead", "d")).alias("opts"))
+RARE, FAR = 2, 8
+
+
+def candidate_keys(words: list[str], leads: list[list[tuple[str, int]]]):
+    """(key, length of the second word, whether that is an initial) under which a reading meets others: two words by their leads; or one
+    own word by its leads with another's initial, beginning or outline."""
+    led = []
+    for w, ls in zip(words, leads):
+        more = [(g, 0) for g in GIVEN.get(w, [])] if w[0] != "*" else []
+        led.append({l: d for l, d in sorted([*ls, *more, (w, 0)], key=lambda x: -x[1])})
+    strict = {f"{min(x, y)} {max(x, y)}" for i, j in combinations(range(len(words)), 2) for x, dx in led[i].items() for y, dy in led[j].items() if dx + dy <= MOST}
+    for i, w in enumerate(words):
+        if w[0] == "*" or len(w) < 3:
+            continue
+        if sum(x[0] != "*" for x in words) == 1:
+            strict |= {f"{x}" for x in led[i]}
+        for j, other in enumerate(words):
+            if i == j:
+                continue
+            for o in {other, *(GIVEN.get(other, []) if other[0] != "*" else [])}:
+                o = o.lstrip("*")
+                for x in led[i]:
+                    yield f"{x} i {o[0]}", len(o), len(o) == 1
+                    if len(o) > 1:
+                        yield f"{x} o {o[0]}{o[-1]}", len(o), False
+                        yield f"{x} p {o[:2]}", len(o), False
+    for k in strict:
+        yield k, 0, True
+
+
+def reading_pairs(read_: DataFrame) -> DataFrame:
+    """(a, b, cost, loose): readings that may stand for the same."""
+    w = read_.select("value", F.explode(F.filter("words", lambda x: ~x.startswith("*"))).alias("word"))
+    near = cut(near_words(w.groupBy("word").agg(F.count_distinct("value").alias("n"))), "near")
+    distinct = cut(read_.groupBy("reading").agg(F.first("words").alias("words"), F.first("number").alias("number"), F.first("kind").alias("kind")), "distinct")
+    leads = (
+        distinct.select("reading", F.posexplode("words").alias("pos", "word"))
+        .join(near, "word", "left")
+        .groupBy("reading")
+        .agg(F.collect_list(F.struct("pos", "lead", "d")).alias("leads"))
     )
 
-    def combine(frames):
+    def keys(frames):
         for f in frames:
             rows = []
-            for id_, number, own, opts_ in zip(f["id"], f["number"], f["own"], f["opts"]):
-                by = defaultdict(list)
-                for o in opts_:
-                    by[o["pos"]].append((o["lead"], o["d"]))
-                combos = [((), 0)]
-                for p in range(len(own)):
-                    combos = [((*c, w), n + d) for c, n in combos for w, d in by[p] if n + d <= MOST]
-                for c, _ in combos:
-                    cost = assignment(list(own), list(c))
-                    if cost <= MOST:
-                        rows.append((id_, number, " ".join(sorted(c)), cost))
-            yield pd.DataFrame(rows, columns=["id", "number", "lead", "cost"]).drop_duplicates(["id", "number", "lead"])
-
-    cand = cut(opts.mapInPandas(combine, "id string, number string, lead string, cost int"), "leads")
-    weight = values.groupBy(F.concat_ws(" ", "own").alias("id"), "number").agg(F.count("*").alias("w"))
-    votes = cand.join(weight, ["id", "number"]).groupBy("lead", "number").agg(F.sum("w").alias("votes"))
-    w = Window.partitionBy("id", "number").orderBy(F.desc("votes"), "cost", "lead")
-    best = cand.join(votes, ["lead", "number"]).withColumn("r", F.row_number().over(w)).filter("r = 1").select("id", "number", "lead")
-    return values.withColumn("id", F.concat_ws(" ", "own")).join(best, ["id", "number"]).drop("id")
-
-
-MOST = 3
+            for r, words, number, leads_ in zip(f["reading"], f["words"], f["number"], f["leads"]):
+                by = [[] for _ in words]
+                for x in leads_:
+                    if x["lead"] is not None:
+                        by[x["pos"]].append((x["lead"], x["d"]))
+                rows += [(r, f"{number} {k}", n, s) for k, n, s in set(candidate_keys(list(words), by))]
+            yield pd.DataFrame(rows, columns=["reading", "key", "n", "initial"])
+
+    ix = cut(distinct.join(leads, "reading").select("reading", "words", "number", "leads").mapInPandas(keys, "reading string, key string, n int, initial boolean"), "keys")
+    # Of what meets by an initial one side has no more than that; of what meets by outlines one is the shorter by two letters.
+    meet = (F.col("a.initial") | F.col("b.initial")) | ((F.abs(F.col("a.n") - F.col("b.n")) > 1) & ~F.col("key").rlike(" i .$"))
+    pairs = ix.alias("a").join(ix.alias("b"), "key").filter((F.col("a.reading") < F.col("b.reading")) & meet).select(F.col("a.reading").alias("a"), F.col("b.reading").alias("b")).distinct()
+    full = pairs.join(distinct.select(F.col("reading").alias("a"), F.col("words").alias("wa"), F.col("kind").alias("ka")), "a").join(distinct.select(F.col("reading").alias("b"), F.col("words").alias("wb"), F.col("kind").alias("kb")), "b")
+
+    def aligned(frames):
+        for f in frames:
+            rows = []
+            for a, b, wa, wb in zip(f["a"], f["b"], f["wa"], f["wb"]):
+                if got := align(list(wa), list(wb)):
+                    rows.append((a, b, *got))
+            yield pd.DataFrame(rows, columns=["a", "b", "cost", "loose"])
+
+    some = full.filter((F.col("ka") == F.col("kb")) | (F.col("ka") == "u") | (F.col("kb") == "u"))
+    return some.select("a", "b", "wa", "wb").mapInPandas(aligned, "a string, b string, cost double, loose boolean")
 
 
 def entities(df: DataFrame, party: str = "party") -> DataFrame:
     """(value, entity): one row per distinct value that names one party."""
     read_ = cut(readings(df, party), "readings")
-    everyone = cut(led(read_), "led")
-
-    # Bodies: one trade per set of words, or several; without a trade a value joins only where there is one.
-    bodies = everyone.filter(F.size("given") == 0)
-    trades = bodies.filter("trade <> ''").groupBy("lead", "number").agg(F.count_distinct("trade").alias("n"), F.first("trade").alias("only"))
-    b = bodies.join(trades, ["lead", "number"], "left").withColumn("t", F.when((F.col("trade") == "") & (F.col("n") == 1), F.col("only")).otherwise(F.col("trade")))
-    out = b.select("value", F.concat_ws("|", F.lit("b"), "lead", "number", "t").alias("entity"))
-
-    # Persons: a given name typed in full makes a group of its surname; short forms and initials join the one group they fit.
-    folk = everyone.filter(F.size("given") > 0).select("value", "lead", F.get("given", F.lit(0)).alias("g"), F.get("given", F.lit(1)).alias("middle"))
-
-    @F.pandas_udf("array<string>")
-    def means(g: pd.Series) -> pd.Series:
-        return pd.Series([GIVEN.get(x, [x]) for x in g])
-
-    folk = folk.withColumn("means", means("g")).withColumn("initial", F.length("g") == 1)
-    full = folk.filter("not initial").filter(F.array_contains("means", F.col("g"))).select("lead", F.col("g").alias("name")).distinct()
-    short = folk.filter("not initial")
-    one = (
-        short.select("value", "lead", F.posexplode("means").alias("pos", "name"))
-        .join(full.withColumn("there", F.lit(1)), ["lead", "name"], "left")
-        .withColumn("r", F.row_number().over(Window.partitionBy("value").orderBy(F.desc_nulls_last("there"), "pos")))
-        .filter("r = 1")
-        .select("value", "lead", "name")
-    )
-    known = short.join(one, ["value", "lead"])
-    groups = known.groupBy("lead", "name").agg(F.collect_set(F.substring("middle", 1, 1)).alias("middles"))
-    bare = folk.filter("initial").join(groups, "lead", "left").filter(F.col("name").startswith(F.col("g")) | F.col("name").isNull())
-    agree = F.col("middle").isNull() | (F.size("middles") == 0) | F.array_contains("middles", F.col("middle"))
-    fits = (
-        folk.filter("initial").select("value", "lead", "g", "middle")
-        .join(bare.filter(F.col("name").isNotNull() & agree).groupBy("value").agg(F.count("*").alias("k"), F.min("name").alias("name")), "value", "left")
-        .withColumn("name", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat_ws(".", "g", F.when(F.coalesce(F.col("k"), F.lit(0)) > 1, F.col("middle")))))
-    )
-    people = known.select("value", "lead", "name").unionByName(fits.select("value", "lead", "name"))
-    return out.unionByName(people.select("value", F.concat_ws("|", F.lit("p"), "lead", "name").alias("entity")))
+    links = cut(reading_pairs(read_), "aligned")
+    group = grouped(read_.select("reading").distinct(), links.filter("not loose").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    for _ in range(ROUNDS):
+        group = cut(attached(group, links), "groups")
+    return read_.join(group, "reading").select("value", F.col("entity"))
+
+
+ROUNDS = 2
+
+
+def grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(reading, entity): the smallest reading that each is joined with."""
+    c = components(edges)
+    return nodes.join(c.select(F.col("node").alias("reading"), F.col("component").alias("entity")), "reading", "left").select("reading", F.coalesce("entity", "reading").alias("entity"))
+
+
+def attached(group: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups joined with the one that says more and that they fit best, where there is just one such."""
+    g = lambda k: group.select(F.col("reading").alias(k), F.col("entity").alias(f"e{k}"))
+    x = links.join(g("a"), "a").join(g("b"), "b").filter("ea <> eb")
+    # The side with fewer letters leaves something out; of equals the later in order.
+    less = F.struct(F.length("a"), F.col("b")) < F.struct(F.length("b"), F.col("a"))
+    x = x.select(F.when(less, F.col("ea")).otherwise(F.col("eb")).alias("src"), F.when(less, F.col("eb")).otherwise(F.col("ea")).alias("dst"), "cost")
+    best = x.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    one = best.groupBy("src").agg(F.min_by("dst", "cost").alias("dst"), F.sort_array(F.collect_list("cost")).alias("costs"))
+    only = one.filter((F.size("costs") == 1) | (F.get("costs", F.lit(0)) < F.get("costs", F.lit(1)))).select("src", "dst")
+    c = components(only).select(F.col("node").alias("entity"), "component")
+    return group.join(c, "entity", "left").select("reading", F.coalesce("component", "entity").alias("entity"))
 
 
 def variant_pairs(df: DataFrame, party: str = "party") -> DataFrame:

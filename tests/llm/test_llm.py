@@ -131,16 +131,51 @@ def test_variants_of_bodies_and_persons(spark):
     assert spellings.variant_pairs(df.limit(0)).count() == 0
 
 
-def test_long_names_are_assigned_best():
+def test_words_are_assigned_best():
     from itertools import permutations
 
     a, b = "greater nashville regional senior health alliance".split(), "greater bashville regional senior health alliance".split()
-    assert spellings.assignment(sorted(a), sorted(b)) == 1
+    assert spellings.align(sorted(a), sorted(b)) == (1.0, False)
     rnd = random.Random(11)
     for _ in range(200):
         n = rnd.randint(1, 6)
-        d = [[rnd.choice([0, 1, 2, 50]) for _ in range(n)] for _ in range(n)]
-        assert spellings.hungarian(d) == min(sum(d[i][j] for i, j in enumerate(p)) for p in permutations(range(n)))
+        d = [[rnd.choice([0, 0.5, 1, 2, 50]) for _ in range(n)] for _ in range(n)]
+        got = spellings.optimal(d)
+        assert sorted(got) == list(range(n)) and sum(d[i][j] for i, j in enumerate(got)) == min(sum(d[i][j] for i, j in enumerate(p)) for p in permutations(range(n)))
+
+
+def test_alignment_of_two_values():
+    al = lambda x, y: spellings.align(sorted(x.split()), sorted(y.split()))
+    assert al("ferrow brothers roofing", "bros ferrow rfg") == (1.0, True) and al("giovanni berr", "berr gio") == (0.5, True) and al("giovanni berr", "g berr") == (0.5, True)
+    assert al("kenneth amblobridge", "amblobrigde kenneth p") == (1.2, False) and al("kenneth amblobridge", "karen amblobridge") is None and al("k amblobridge", "amblobridge *paving") is None
+    assert al("ferrow *paving", "ferrow") == (0.6, True) and al("ferrow *paving", "ferrow *roofing") is None and al("ferrow", "ferrow kalmora") is None and al("eric stone", "erica stone") is not None
+    assert spellings.abbreviates("mgmt", "management") and spellings.abbreviates("constr", "construction") and not spellings.abbreviates("pat", "port") and not spellings.abbreviates("cat", "concert hall")
+
+
+def linked(spark, values):
+    return set(map(tuple, spellings.variant_pairs(spark.createDataFrame([(v,) for v in values], "party string")).collect()))
+
+
+def test_names_of_no_list_are_linked(spark):
+    groups = [["Ferrow Brothers Roofing", "Ferrow Bros Rfg", "FERROW BROS. ROOFING"], ["Giovanni Berr", "Gio Berr", "G. Berr"], ["Ferrow Paving LLC"], ["Wanjiru Otieno", "Otieno, Wanjiru"]]
+    want = {(min(a, b), max(a, b)) for g in groups for i, a in enumerate(g) for b in g[:i]}
+    assert linked(spark, [v for g in groups for v in g]) == want
+
+
+def test_more_rows_take_no_link_away(spark):
+    few = ["Kalmora Paving LLC", "Kalmera Paving LLC"]
+    assert linked(spark, few) == {("Kalmera Paving LLC", "Kalmora Paving LLC")}
+    more = ["Kalmrax Supply Inc", "Kalmrax Electric Co", "Kalmira Water Inc", "Kalm Bridge LLC", "Kalmoro Bank"]
+    assert ("Kalmera Paving LLC", "Kalmora Paving LLC") in linked(spark, few + more)
+
+
+def test_assignment_decides(spark, monkeypatch):
+    """Pairs of the same keys are no variants by themselves: without the optimal assignment the result is another."""
+    values = ["Ferrow Brothers Roofing", "Rfg. Ferrow Bros", "Ferrow Bridge Rafting", "Lundale Corvitt Paving", "Corvit Lundale Pvg", "Corvitt Dales Paving", "William Carrow", "Bill Carrow"]
+    want = {("Ferrow Brothers Roofing", "Rfg. Ferrow Bros"), ("Bill Carrow", "William Carrow"), ("Corvit Lundale Pvg", "Lundale Corvitt Paving")}
+    assert linked(spark, values) == want
+    monkeypatch.setattr(spellings, "optimal", lambda d: list(range(len(d))))  # words in the order in which they stand
+    assert linked(spark, values) != want
 
 
 def test_every_near_word_is_compared(spark):
