@@ -9,12 +9,12 @@ from quarrystone.session import table
 
 
 def p1_found(spark, d):
-    return spans.shared_pairs(spans.shared_spans(table(spark, d, "chunks", "id", "token", "text")))
+    return spans.shared_pairs(spans.shared_classes(table(spark, d, "chunks", "id", "token", "text")))
 
 
 def p1_shared(spark, d):
     chunks = table(spark, d, "chunks", "id", "token", "text")
-    return spans.shared_report(chunks, spans.shared_spans(chunks))
+    return spans.shared_report(chunks, spans.shared_classes(chunks))
 
 
 def p1_spans(spark, d):

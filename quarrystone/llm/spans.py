@@ -6,7 +6,11 @@ of it, so no such pair is missed. Extend: for each pair of records of different
 both ways, character by character, to the maximal repeat; those of ``LEAST`` or more characters are kept. Hashes only propose,
 the characters decide.
 
-Only anchors that stand under two owners leave the first exchange, and only records with such an anchor have their texts moved.
+Rows of one text are one class: anchors, candidate pairs and matches are formed between classes only, however many rows repeat a
+text, and an anchor's owners are brought down to the least and the greatest before anything is put together. Only anchors that
+stand under two owners go on, and only texts with such an anchor are moved, once for each pair of classes. The report per
+record is computed from classes, their owners and counts; rows are only paired where pairs are what is asked for.
+
 Null, empty and short texts have no anchors. Rows of one owner are never compared. Nulls as owner count as one owner.
 """
 
@@ -76,21 +80,27 @@ class Winnower:
         return h[at], at
 
 
-def anchor_rows(df: DataFrame, key: str, owner: str, text: str, k: int, least: int) -> DataFrame:
-    """(anchor, key, owner code, place)."""
-    src = df.select(F.col(key).alias("id"), F.xxhash64(F.col(owner)).alias("own"), F.col(text).alias("text")).filter(F.length("text") >= least)
+def members(df: DataFrame, key: str, owner: str, text: str, least: int) -> DataFrame:
+    """(id, own, cls): records long enough to share a run, with the code of their owner and the class of their text."""
+    return df.select(F.col(key).alias("id"), F.xxhash64(F.col(owner)).alias("own"), F.md5(F.col(text)).alias("cls"), F.length(text).alias("n")).filter(F.col("n") >= least)
+
+
+def anchor_rows(df: DataFrame, owner: str, text: str, k: int, least: int) -> DataFrame:
+    """(anchor, cls, at, lo, hi): where a class of texts has an anchor, with the least and greatest of its owners."""
+    src = df.select(F.xxhash64(F.col(owner)).alias("own"), F.md5(F.col(text)).alias("cls"), F.col(text).alias("text")).filter(F.length("text") >= least)
 
     def run(frames):
         win = Winnower(k, least)
         for f in frames:
-            ids, owns, hashes, places, counts = f["id"].to_numpy(), f["own"].to_numpy(), [], [], []
+            cls, owns, hashes, places, counts = f["cls"].to_numpy(), f["own"].to_numpy(), [], [], []
             for t in f["text"]:
                 h, at = win.anchors(t)
                 hashes.append(h), places.append(at), counts.append(len(at))
             if sum(counts):
-                yield pd.DataFrame({"anchor": np.concatenate(hashes).view(np.int64), "id": np.repeat(ids, counts), "own": np.repeat(owns, counts), "at": np.concatenate(places).astype(np.int32)})
+                yield pd.DataFrame({"anchor": np.concatenate(hashes).view(np.int64), "cls": np.repeat(cls, counts), "own": np.repeat(owns, counts), "at": np.concatenate(places).astype(np.int32)})
 
-    return src.mapInPandas(run, "anchor bigint, id bigint, own bigint, at int")
+    rows = src.mapInPandas(run, "anchor bigint, cls string, own bigint, at int")
+    return rows.groupBy("anchor", "cls", "at").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
 
 
 def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], k: int, least: int) -> list[tuple[int, int, int]]:
@@ -118,64 +128,97 @@ def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], k: int, l
     return out
 
 
-def shared_spans(df: DataFrame, key: str = "id", owner: str = "token", text: str = "text", k: int = K, least: int = LEAST) -> DataFrame:
-    """(id_a, id_b, start_a, start_b, length): every maximal shared run between records of different owners, id_a < id_b."""
-    w = Window.partitionBy("anchor")
-    hot = cut(
-        anchor_rows(df, key, owner, text, k, least)
-        .withColumns({"lo": F.min("own").over(w), "hi": F.max("own").over(w)})
-        .filter("lo <> hi")
-        .select("anchor", "id", "own", "at"),
-        "anchors",
-    )
+class Shared:
+    """members (id, own, cls); spans between classes (ca, cb, start_a, start_b, length), ca <= cb: ca = cb stands for whole texts under
+    several owners."""
+
+    def __init__(self, rows: DataFrame, spans: DataFrame):
+        self.members, self.spans = rows, spans
+
+
+def shared_classes(df: DataFrame, key: str = "id", owner: str = "token", text: str = "text", k: int = K, least: int = LEAST) -> Shared:
+    """Every maximal shared run between classes of texts that have records of different owners."""
+    rows = cut(members(df, key, owner, text, least), "members")
+    every = cut(anchor_rows(df, owner, text, k, least), "anchors")
+    both = every.groupBy("anchor").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.min("cls").alias("c"), F.max("cls").alias("d")).filter("l <> h and c <> d")
+    hot = cut(every.join(both.select("anchor"), "anchor", "left_semi"), "hot")
     a, b = hot.alias("a"), hot.alias("b")
-    # A pair shares many anchors of one run; the anchors on one diagonal fold into their first and last place, kept apart
-    # only where the run breaks between them, which the extension finds from either end.
+    # Two classes of one and the same single owner are no pair.
     pairs = (
         a.join(b, "anchor")
-        .filter("a.id < b.id and a.own <> b.own")
-        .groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), (F.col("a.at") - F.col("b.at")).alias("d"))
-        .agg(F.sort_array(F.collect_set("a.at")).alias("at"))
-    )
-    texts = cut(df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(hot.select("id").distinct(), "id", "left_semi"), "texts")
-    full = pairs.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(
-        texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b"
+        .filter("a.cls < b.cls and not (a.lo = a.hi and a.lo = b.lo and b.lo = b.hi)")
+        .groupBy(F.col("a.cls").alias("ca"), F.col("b.cls").alias("cb"))
+        .agg(F.collect_set(F.struct(F.col("a.at").alias("i"), F.col("b.at").alias("j"))).alias("seeds"))
     )
+    one = rows.join(hot.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
+    texts = cut(df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(one, "id").filter(F.md5("text") == F.col("cls")).groupBy("cls").agg(F.first("text").alias("text")), "texts")
+    full = pairs.join(texts.select(F.col("cls").alias("ca"), F.col("text").alias("text_a")), "ca").join(texts.select(F.col("cls").alias("cb"), F.col("text").alias("text_b")), "cb")
 
     def run(frames):
         for f in frames:
-            rows = []
-            for ia, ib, d, at, ta, tb in zip(f["id_a"], f["id_b"], f["d"], f["at"], f["text_a"], f["text_b"]):
+            out = []
+            for ca, cb, seeds, ta, tb in zip(f["ca"], f["cb"], f["seeds"], f["text_a"], f["text_b"]):
                 x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (ta, tb))
-                rows += [(ia, ib, *s) for s in extend(x, y, [(int(i), int(i) - int(d)) for i in at], k, least)]
-            yield pd.DataFrame(rows, columns=["id_a", "id_b", "start_a", "start_b", "length"])
+                out += [(ca, cb, *s) for s in extend(x, y, [(e["i"], e["j"]) for e in seeds], k, least)]
+            yield pd.DataFrame(out, columns=["ca", "cb", "start_a", "start_b", "length"])
+
+    between = full.select("ca", "cb", "seeds", "text_a", "text_b").mapInPandas(run, "ca string, cb string, start_a int, start_b int, length int")
+    zero = F.lit(0)
+    whole = rows.groupBy("cls").agg(F.min("own").alias("l"), F.max("own").alias("h"), F.first("n").alias("n")).filter("l <> h")
+    return Shared(rows, cut(between.unionByName(whole.select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), zero.alias("start_a"), zero.alias("start_b"), F.col("n").alias("length"))), "spans"))
+
 
-    return full.select("id_a", "id_b", "d", "at", "text_a", "text_b").mapInPandas(run, "id_a bigint, id_b bigint, start_a int, start_b int, length int")
+def expanded(shared: Shared, what: DataFrame) -> DataFrame:
+    """Rows of ``what`` (ca, cb, ...) for every two records of different owners in the two classes, the smaller id first."""
+    m = shared.members
+    x = what.join(m.select(F.col("cls").alias("ca"), F.col("id").alias("ia"), F.col("own").alias("oa")), "ca").join(m.select(F.col("cls").alias("cb"), F.col("id").alias("ib"), F.col("own").alias("ob")), "cb")
+    return x.filter("oa <> ob and (ca <> cb or ia < ib)")
+
+
+def shared_spans(df: DataFrame, key: str = "id", owner: str = "token", text: str = "text", k: int = K, least: int = LEAST) -> DataFrame:
+    """(id_a, id_b, start_a, start_b, length): every maximal shared run between records of different owners, id_a < id_b."""
+    shared = shared_classes(df, key, owner, text, k, least)
+    x = expanded(shared, shared.spans)
+    first = F.col("ia") < F.col("ib")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return x.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), pick("start_a", "start_b").alias("start_a"), pick("start_b", "start_a").alias("start_b"), "length")
 
 
-def shared_pairs(spans: DataFrame) -> DataFrame:
-    return spans.select("id_a", "id_b").distinct()
+def shared_pairs(shared: Shared) -> DataFrame:
+    """(id_a, id_b): records of different owners that share a run. Pairs of classes are distinct, so are those of records."""
+    x = expanded(shared, shared.spans.select("ca", "cb").distinct())
+    return x.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
 
 
-def shared_report(df: DataFrame, spans: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """One row per record: its length, how many of its characters also stand under another owner, and with how many records."""
-    ends = spans.select(
+def shared_report(df: DataFrame, shared: Shared, key: str = "id", text: str = "text") -> DataFrame:
+    """One row per record: its length, how many of its characters also stand under another owner, and with how many records; from
+    classes and their owners' counts alone, no pair of records is formed."""
+    ends = shared.spans.select(
         F.explode(
             F.array(
-                F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")),
-                F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("other"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e")),
+                F.struct(F.col("ca").alias("cls"), F.col("cb").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")),
+                F.struct(F.col("cb").alias("cls"), F.col("ca").alias("other"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e")),
             )
         ).alias("x")
     ).select("x.*")
-    w = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    owned = shared.members.groupBy("cls", "own").agg(F.count("*").alias("k"))
+    total = owned.groupBy("cls").agg(F.sum("k").alias("all"), F.min("own").alias("lo"), F.max("own").alias("hi"))
+    other = total.select(F.col("cls").alias("other"), "all", "lo", "hi")
+    # Each class' owners see the spans with classes that others own too.
+    mine = owned.select("cls", "own")
+    seen = ends.distinct().join(other, "other").join(mine, "cls").filter("lo <> own or hi <> own")
+    w = Window.partitionBy("cls", "own").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
-        ends.withColumn("reach", F.coalesce(F.max("e").over(w), F.lit(0)))
+        seen.withColumn("reach", F.coalesce(F.max("e").over(w), F.lit(0)))
         .withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reach")))
-        .groupBy("id")
-        .agg(F.sum("new").alias("shared_chars"), F.count_distinct("other").alias("partners"))
+        .groupBy("cls", "own")
+        .agg(F.sum("new").alias("shared_chars"))
     )
+    links = seen.select("cls", "own", "other", "all").distinct().join(owned.select(F.col("cls").alias("other"), "own", "k"), ["other", "own"], "left")
+    partners = links.groupBy("cls", "own").agg(F.sum(F.col("all") - F.coalesce("k", F.lit(0))).alias("partners"))
+    got = shared.members.join(covered, ["cls", "own"]).join(partners, ["cls", "own"]).select("id", "shared_chars", "partners")
     return (
         df.select(F.col(key).alias("id"), F.length(text).cast("bigint").alias("n_chars"))
-        .join(covered, "id", "left")
+        .join(got, "id", "left")
         .select("id", "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("partners", F.lit(0)).alias("partners"))
     )

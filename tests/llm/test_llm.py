@@ -35,19 +35,37 @@ def test_shared_runs_against_brute_force(spark):
 
     want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and x[2] and y[2] and share(x[2], y[2]))
     df = spark.createDataFrame(rows, "id bigint, token string, text string")
-    s = spans.shared_spans(df)
-    assert sorted(map(tuple, spans.shared_pairs(s).collect())) == want and want
-    for r in s.collect():
+    shared = spans.shared_classes(df)
+    assert sorted(map(tuple, spans.shared_pairs(shared).collect())) == want and want
+    s = spans.shared_spans(df).collect()
+    assert sorted({(r.id_a, r.id_b) for r in s}) == want
+    for r in s:
         a, b = (next(x[2] for x in rows if x[0] == i) for i in (r.id_a, r.id_b))
         assert a[r.start_a : r.start_a + r.length] == b[r.start_b : r.start_b + r.length] and r.length >= 200
         assert r.start_a == 0 or r.start_b == 0 or a[r.start_a - 1] != b[r.start_b - 1]
-    rep = {r.id: r for r in spans.shared_report(df, s).collect()}
+    rep = {r.id: r for r in spans.shared_report(df, shared).collect()}
     assert rep[60].shared_chars == 0 and rep[62].shared_chars >= 200 and len(rep) == len(rows)
+    for i, _, t in rows:
+        held = {c for r in s for own, at in ((r.id_a, r.start_a), (r.id_b, r.start_b)) if own == i for c in range(at, at + r.length)}
+        assert rep[i].shared_chars == len(held) and rep[i].partners == sum(i in p for p in want) and rep[i].n_chars == (None if t is None else len(t))
+
+
+def test_a_passage_in_a_third_of_all_rows(spark):
+    """Copies of one text under many owners are one class: what is reported comes from counts, no pairs of rows are formed."""
+    rnd = random.Random(21)
+    hot = prose(rnd, 60)
+    rows = [(i, f"t{i % 700}", hot) for i in range(3000)] + [(9000 + i, f"u{i}", prose(rnd, 40) + f"§{i}§" + hot) for i in range(20)] + [(10000 + i, f"v{i}", prose(rnd, 50) + str(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, token string, text string")
+    shared = spans.shared_classes(df)
+    assert shared.spans.count() == 1 + 20 + 190
+    rep = {r.id: r for r in spans.shared_report(df, shared).collect()}
+    same = sum(1 for i in range(3000) if i % 700 == 5)
+    assert rep[5].shared_chars == len(hot) and rep[5].partners == 3000 - same + 20 and rep[9001].partners == 3000 + 19 and rep[10001].partners == 0
 
 
 def test_no_records_no_spans(spark):
     df = spark.createDataFrame([], "id bigint, token string, text string, anchor string")
-    assert spans.shared_spans(df).count() == 0 and spans.shared_report(df, spans.shared_spans(df)).count() == 0
+    assert spans.shared_spans(df).count() == 0 and spans.shared_report(df, spans.shared_classes(df)).count() == 0
 
 
 # ---- 2
@@ -493,4 +511,4 @@ def test_extra_columns_with_clashing_names(spark):
     d = spark.createDataFrame([(1, "one two", "x", 3)], "doc_id bigint, text string, ids string, n_tokens int")
     assert bpe.encode_frame(d, "doc_id", "text").columns == ["doc_id", "ids"]
     s = spark.createDataFrame([(1, "t", "x" * 300, 4, 5), (2, "u", "x" * 300, 4, 5)], "id bigint, token string, text string, own int, at int")
-    assert spans.shared_pairs(spans.shared_spans(s)).count() == 1
+    assert spans.shared_pairs(spans.shared_classes(s)).count() == 1
