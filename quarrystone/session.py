@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -40,11 +41,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir; only where that is unset (local runs, tests) a temporary one,
-    deleted when Python ends."""
+    """The folder every executor can reach: spark.checkpoint.dir. Only a local session without that setting gets a temporary one,
+    deleted when Python ends; on a cluster a folder of one machine would lose rows, so there it is an error."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(sc.applicationId) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: stages are written there")
         d = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="quarrystone-")
         atexit.register(shutil.rmtree, d, ignore_errors=True)
     return d

@@ -495,3 +495,14 @@ def test_stages_are_written_and_purged(spark):
     assert d.count() == 10 and os.listdir(os.path.join(shared_dir(spark), "quarrystone"))
     purge(spark)
     assert not os.path.exists(os.path.join(shared_dir(spark), "quarrystone"))
+
+
+def test_stages_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quarrystone.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    sc = SimpleNamespace(getConf=lambda: conf, applicationId="none", master="spark://h:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=conf))
