@@ -63,7 +63,6 @@ LANGUAGE_OF = {w: k for k, ws in FUNCTION_WORDS.items() for w in ws}
 NOT_LATIN = re.compile(r"[\u0370-\u1dff\u2c00-\ud7ff]")
 SCRIPTS = ((0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "arabic"), (0x780, "other"), (0x900, "indic"), (0xE00, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"))
 KANA = re.compile("[\u3040-\u30ff]")
-STRIP = ".,;:!?()[]|/\u00b7>\"'#"
 
 
 def language(text: str, words: set[str]) -> str:
@@ -75,23 +74,21 @@ def language(text: str, words: set[str]) -> str:
     return k if FUNCTION_WORDS[k] & words else "latin"
 
 
-def redundancy(block: str) -> tuple[int, float]:
-    """(bytes of the words, what compression leaves of them once links are one sign)."""
-    low = block.lower()
-    plain = BETWEEN.sub(" ", low).encode("utf-8", "replace")
-    folded = BETWEEN_LINKS.sub(" ", LINKS.sub(ONE, low)).encode("utf-8", "replace") if LISTING.search(low) else plain
-    return len(plain), len(zlib.compress(folded, 6)) / max(1, len(plain))
+def redundancy(low: str, plain: str) -> tuple[int, float]:
+    """(bytes of the words, what compression leaves of them once links are one sign) of a block in lower case and its plain words."""
+    data = plain.encode("utf-8", "replace")
+    folded = BETWEEN_LINKS.sub(" ", LINKS.sub(ONE, low)).encode("utf-8", "replace") if LISTING.search(low) else data
+    return len(data), len(zlib.compress(folded, 6)) / max(1, len(data))
 
 
 def keyword(words: list[str]) -> set[str]:
     """The words of a block's keyword: its commonest pair, said three times or more, and a long word that every eighth is."""
-    body = [w.rstrip("s") for w in words if len(w) > 2 and w.isalpha()]
-    pairs = Counter(zip(body, body[1:]))
-    if not pairs:
-        return set()
-    best, k = pairs.most_common(1)[0]
+    body = [w for w in words if len(w) > 2 and w.isalpha()]
+    if len(body) - len(set(body)) < 2:
+        return set()  # nothing is said three times
+    best, k = Counter(zip(body, body[1:])).most_common(1)[0]
     key = set(best) if k > 2 else set()
-    longest = Counter(w for w in body if len(w) > 4).most_common(1)
+    longest = Counter([w for w in body if len(w) > 4]).most_common(1)
     if longest and longest[0][1] > 2 and longest[0][1] / len(words) > 0.12:
         key.add(longest[0][0])
     return key - LANGUAGE_OF.keys()
@@ -99,25 +96,30 @@ def keyword(words: list[str]) -> set[str]:
 
 def block_features(block: str) -> tuple | None:
     """(language, length class, compression ratio, words, real sentence ends per word)."""
-    raw = block.split()
+    raw = block.lower().split()
     cjk = 0 if block.isascii() else len(CJK.findall(block))
     n = len(raw) + cjk // 2
     if not n:
         return None
-    size, ratio = redundancy(block)
-    words = [w.strip(STRIP) for w in block.lower().split()]
-    key = keyword(words)
+    low = block.lower()
+    plain = BETWEEN.sub(" ", low)
+    size, ratio = redundancy(low, plain)
     real = at = 0
+    key = None
     for m in END.finditer(block):
-        unit = block[at : m.start()]
+        unit = low[at : m.start()] if len(low) == len(block) else block[at : m.start()].lower()
         at = m.end()
         if cjk and CJK.search(unit):
             real += len(unit) >= 8
             continue
-        ws = unit.lower().split()
-        if len(ws) >= 5 and not (key and sum(w.strip(STRIP).rstrip("s") in key for w in ws) / len(ws) > 0.22):
+        ws = unit.split()
+        if len(ws) < 5:
+            continue
+        if key is None:
+            key = keyword(plain.split())
+        if not key or sum(w in key for w in BETWEEN.sub(" ", unit + " ").split()) / len(ws) <= 0.22:
             real += 1
-    return (language(block, set(words)), int(math.log2(max(2, size)) * 2), ratio, n, real / n)
+    return (language(block, set(raw)), int(math.log2(max(2, size)) * 2), ratio, n, real / n)
 
 
 def blocks_of(text: str) -> list[str]:
