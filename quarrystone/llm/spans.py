@@ -85,22 +85,21 @@ def members(df: DataFrame, key: str, owner: str, text: str, least: int) -> DataF
     return df.select(F.col(key).alias("id"), F.xxhash64(F.col(owner)).alias("own"), F.md5(F.col(text)).alias("cls"), F.length(text).alias("n")).filter(F.col("n") >= least)
 
 
-def anchor_rows(df: DataFrame, owner: str, text: str, k: int, least: int) -> DataFrame:
-    """(anchor, cls, at, lo, hi): where a class of texts has an anchor, with the least and greatest of its owners."""
-    src = df.select(F.xxhash64(F.col(owner)).alias("own"), F.md5(F.col(text)).alias("cls"), F.col(text).alias("text")).filter(F.length("text") >= least)
+def anchor_rows(df: DataFrame, key: str, owner: str, text: str, k: int, least: int) -> DataFrame:
+    """(anchor, id, own, at)."""
+    src = df.select(F.col(key).alias("id"), F.xxhash64(F.col(owner)).alias("own"), F.col(text).alias("text")).filter(F.length("text") >= least)
 
     def run(frames):
         win = Winnower(k, least)
         for f in frames:
-            cls, owns, hashes, places, counts = f["cls"].to_numpy(), f["own"].to_numpy(), [], [], []
+            ids, owns, hashes, places, counts = f["id"].to_numpy(), f["own"].to_numpy(), [], [], []
             for t in f["text"]:
                 h, at = win.anchors(t)
                 hashes.append(h), places.append(at), counts.append(len(at))
             if sum(counts):
-                yield pd.DataFrame({"anchor": np.concatenate(hashes).view(np.int64), "cls": np.repeat(cls, counts), "own": np.repeat(owns, counts), "at": np.concatenate(places).astype(np.int32)})
+                yield pd.DataFrame({"anchor": np.concatenate(hashes).view(np.int64), "id": np.repeat(ids, counts), "own": np.repeat(owns, counts), "at": np.concatenate(places).astype(np.int32)})
 
-    rows = src.mapInPandas(run, "anchor bigint, cls string, own bigint, at int")
-    return rows.groupBy("anchor", "cls", "at").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
+    return src.mapInPandas(run, f"anchor bigint, id {df.schema[key].dataType.simpleString()}, own bigint, at int")
 
 
 def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], k: int, least: int) -> list[tuple[int, int, int]]:
@@ -139,9 +138,11 @@ class Shared:
 def shared_classes(df: DataFrame, key: str = "id", owner: str = "token", text: str = "text", k: int = K, least: int = LEAST) -> Shared:
     """Every maximal shared run between classes of texts that have records of different owners."""
     rows = cut(members(df, key, owner, text, least), "members")
-    every = cut(anchor_rows(df, owner, text, k, least), "anchors")
-    both = every.groupBy("anchor").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.min("cls").alias("c"), F.max("cls").alias("d")).filter("l <> h and c <> d")
-    hot = cut(every.join(both.select("anchor"), "anchor", "left_semi"), "hot")
+    every = cut(anchor_rows(df, key, owner, text, k, least), "anchors")
+    both = every.groupBy("anchor").agg(F.min("own").alias("l"), F.max("own").alias("h")).filter("l <> h")
+    # Only what stands under two owners is joined on, and only that is brought down to classes.
+    some = every.join(both.select("anchor"), "anchor", "left_semi").join(rows.select("id", "cls"), "id")
+    hot = cut(some.groupBy("anchor", "cls", "at").agg(F.min("own").alias("lo"), F.max("own").alias("hi")), "hot")
     a, b = hot.alias("a"), hot.alias("b")
     # Two classes of one and the same single owner are no pair.
     pairs = (
