@@ -155,23 +155,37 @@ def ties(mentions: DataFrame, name: str, stmt: str, n: int) -> DataFrame:
     return j.join(overlap_null(j.select("na", "nb"), n), ["na", "nb"]).select("a", "b", "k", "null_max", (F.col("k") > F.col("null_max")).alias("tied"))
 
 
-def permutation_rate(df: DataFrame, key: str, left: str, right: str, draws: int = 1000, seed: int = 9) -> DataFrame:
-    """(observed, p999): the rate of rows whose two sides agree, and the 99.9th percentile of it under shuffles of the right
-    side."""
-    obs = df.agg(F.avg((F.col(left) == F.col(right)).cast("double")).alias("observed"))
-    # How many rows agree under a shuffle hangs only on how often each value stands on either side, so the draws are taken from
-    # one row per value: for each draw a value's agreements are Poisson at l r / n, the limit of the matching's count.
-    n = df.agg(F.count("*").alias("n"))
-    c = df.groupBy(F.col(left).alias("v")).agg(F.count("*").alias("l")).join(df.groupBy(F.col(right).alias("v")).agg(F.count("*").alias("r")), "v")
-    lam = c.crossJoin(n).agg(F.coalesce(F.sum(F.try_divide(F.col("l") * F.col("r"), F.col("n"))), F.lit(0.0)).alias("lam"), F.max("n").alias("n"))
+def permutation_rate(df: DataFrame, key: str, left: str, right: str, draws: int = 1000, seed: int = 9, exact: int = 64) -> DataFrame:
+    """(observed, p999, expected): the rate of rows whose two sides agree, the 99.9th percentile of it under shuffles of the right
+    side, and its mean there.
+
+    How many rows agree under a shuffle hangs only on how often each value stands on either side. The ``exact`` values with most
+    agreements to expect are drawn from the multivariate hypergeometric law of these margins; what is left over agrees by so
+    many small chances that their sum is Poisson."""
+    obs = df.agg(F.avg((F.col(left) == F.col(right)).cast("double")).alias("observed"), F.count("*").alias("n"))
+    a, b = (df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias(x)) for c, x in ((left, "l"), (right, "r")))
+    m = a.filter("v is not null").join(b, "v", "full").select("v", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("r", F.lit(0)).alias("r"))
+    top = m.orderBy((-F.col("l") * F.col("r").cast("double")), "v").limit(exact)
+    few = top.agg(F.sort_array(F.collect_list(F.struct("v", "l", "r"))).alias("few"), F.coalesce(F.sum(F.col("l") * F.col("r").cast("double")), F.lit(0.0)).alias("in_few"))
+    both = m.agg(F.coalesce(F.sum(F.col("l") * F.col("r").cast("double")), F.lit(0.0)).alias("all"))
+    x = obs.crossJoin(few).crossJoin(both)
 
     def run(frames):
         for f in frames:
-            for lam, rows in zip(f["lam"], f["n"]):
-                z = np.sort(np.random.default_rng(seed).poisson(float(lam or 0), draws)) / max(1, rows or 1)
-                yield pd.DataFrame({"p999": [float(z[int(0.999 * (draws - 1))])], "expected": [float((lam or 0) / max(1, rows or 1))]})
-
-    return obs.crossJoin(lam.mapInPandas(run, "p999 double, expected double"))
+            for o, n, values, inside, every in zip(f["observed"], f["n"], f["few"], f["in_few"], f["all"]):
+                rng, n = np.random.default_rng(seed), int(n)
+                ls, rs = [int(v["l"]) for v in values], [int(v["r"]) for v in values]
+                z = rng.poisson((every - inside) / max(1, n), draws)
+                for d in range(draws):
+                    pool = np.array([*rs, n - sum(rs)], np.int64)
+                    for i, l in enumerate(ls):
+                        got = rng.multivariate_hypergeometric(pool, l, method="marginals") if l else 0 * pool
+                        z[d] += got[i]
+                        pool = pool - got
+                z = np.sort(z) / max(1, n)
+                yield pd.DataFrame({"observed": [o], "p999": [float(z[int(0.999 * (draws - 1))])], "expected": [float(every / max(1, n) ** 2)]})
+
+    return x.mapInPandas(run, "observed double, p999 double, expected double")
 
 
 def companions(vectors: DataFrame, key: str, vector: str, one, pairs: int = 2000, seed: int = 2) -> DataFrame:

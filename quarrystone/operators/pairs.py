@@ -4,6 +4,7 @@ spellings. Pairs are only ever formed through shared tokens that are rare enough
 from __future__ import annotations
 
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,10 +31,11 @@ def blocked_tokens(tokens: DataFrame) -> DataFrame:
     """tokens + idf of those that stand in 2 to max(2, ceil(sqrt N)) statements: the only ones pairs are formed through. A
     token's pairs are then at most N, so skewed words cost nothing."""
     n = tokens.agg(F.count_distinct("id").alias("n"))
-    t = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).crossJoin(F.broadcast(n))
-    rare = t.filter((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2), F.ceil(F.sqrt("n")))))
-    # Written once: both sides of every pair join read this small table, not the texts.
-    return cut(rare.select(*tokens.columns, F.log2((F.col("n") + 1) / F.col("df")).alias("idf")), "blocked")
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    rare = df.filter((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2), F.ceil(F.sqrt("n"))))).select("token", F.log2((F.col("n") + 1) / F.col("df")).alias("idf"))
+    # Counted with partial sums, so no word is put together in one task; written once: both sides of every pair join read this
+    # small table, not the texts.
+    return cut(tokens.join(rare, "token").select(*tokens.columns, "idf"), "blocked")
 
 
 def pair_scores(blocked: DataFrame) -> DataFrame:
@@ -96,9 +98,11 @@ def shingle_jaccard(df: DataFrame, key: str, text: str, least: float = 0.8, n: i
     freq = reps.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
     ordered = reps.select("rep", F.size("sh").alias("size"), F.explode("sh").alias("s")).join(freq, "s")
     ranked = ordered.groupBy("rep", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda x: x["s"]).alias("order"))
-    prefix = ranked.select("rep", "size", F.explode(F.slice("order", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int"))).alias("s"))
+    prefix = cut(ranked.select("rep", "size", F.posexplode(F.slice("order", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int"))).alias("at", "s")), "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
-    cand = x.join(y, "s").filter((F.col("x.rep") < F.col("y.rep")) & (F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    # Sizes must be alike, and what can still be shared from the two places on must be enough: all shingles are in one order.
+    enough = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1 + F.least("x.at", "y.at") >= least / (1 + least) * (F.col("x.size") + F.col("y.size"))
+    cand = x.join(y, "s").filter((F.col("x.rep") < F.col("y.rep")) & (F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size")) & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     sa, sb = reps.select(F.col("rep").alias("a"), F.col("sh").alias("xa")), reps.select(F.col("rep").alias("b"), F.col("sh").alias("xb"))
     inter = F.size(F.array_intersect("xa", "xb"))
     links = cut(cand.join(sa, "a").join(sb, "b").withColumn("i", inter).filter(F.col("i") >= least * (F.size("xa") + F.size("xb") - F.col("i"))).select("a", "b"), "links")
@@ -205,15 +209,18 @@ def select_mmr(rows: pd.DataFrame, k: int, lam: float) -> pd.DataFrame:
         den = (sum(w * w for w in p.values()) * sum(w * w for w in q.values())) ** 0.5
         return num / den if den else 0.0
 
+    # Likeness only grows, so a stale score is an upper bound: the best of a heap is brought up to date and put back until it stays.
     chosen: list = []
+    heap = [(-lam * worth[i], n, i, 0) for n, i in enumerate(sorted(worth))]
+    heapify(heap)
     near: dict = defaultdict(float)
-    left = sorted(worth)
-    while left and len(chosen) < k:
-        best = max(left, key=lambda i: (lam * worth[i] - (1 - lam) * near[i], -left.index(i)))
-        chosen.append(best)
-        left.remove(best)
-        for i in left:
-            near[i] = max(near[i], cos(vec[i], vec[best]))
+    while heap and len(chosen) < k:
+        _, n, i, known = heappop(heap)
+        if known < len(chosen):
+            near[i] = max([near[i], *(cos(vec[i], vec[c]) for c in chosen[known:])])
+            heappush(heap, (-(lam * worth[i] - (1 - lam) * near[i]), n, i, len(chosen)))
+        else:
+            chosen.append(i)
     doc = rows["doc"].iloc[0]
     return pd.DataFrame({"doc": doc, "id": chosen, "place": range(1, len(chosen) + 1)})
 

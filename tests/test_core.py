@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -506,3 +507,53 @@ def test_stages_need_a_shared_folder_on_a_cluster():
     sc = SimpleNamespace(getConf=lambda: conf, applicationId="none", master="spark://h:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+# ---- what was said, and how sure chance is
+
+
+def test_denials(spark):
+    yes = ["It shall not open", "They didn't agree", "There is no dock", "neither of them", "It can’t hold", "No, 5 were left", "the lease prohibits it", "no no. 5"]
+    no = ["No. 5 is open", "see no 12", "notable knots", "the note", "", "annotated", "nobody"]
+    d = spark.createDataFrame([(x,) for x in yes + no], "t string")
+    assert [r[0] for r in d.select(sc.negated("t")).collect()] == [True] * len(yes) + [False] * len(no)
+
+
+def test_names_and_figures_of_statements():
+    from quarrystone.operators.alignment import figures_in, names_in
+
+    t = "Then it was said that the Bank of Ashmere and Mary-Ann Lee's firm paid $1,200.50, 3 million dollars and 12% of 40 trucks in 1998 at 10:30 am, on the 5th."
+    assert [n for n, _, _ in names_in(t)] == ["Bank of Ashmere", "Mary-Ann Lee"] and all(t[s:e] == n for n, s, e in names_in(t))
+    assert [(v, u) for _, v, u, _, _ in figures_in(t)] == [(1200.5, "dollars"), (3e6, "dollar"), (12.0, "percent"), (40.0, "truck")]
+    assert all(t[s:e] == raw for raw, _, _, s, e in figures_in(t)) and names_in("Ashmere paid") == [] and figures_in("in 1998, 7") == []
+
+
+def test_permutation_rate_against_shuffles(spark):
+    from quarrystone.operators.evidence import permutation_rate
+
+    rnd = np.random.default_rng(4)
+    l, r = rnd.choice(list("abc"), 900, p=[0.6, 0.3, 0.1]), rnd.choice(list("abd"), 900, p=[0.5, 0.3, 0.2])
+    df = spark.createDataFrame([(i, str(x), str(y)) for i, (x, y) in enumerate(zip(l, r))], "k int, l string, r string")
+    got = permutation_rate(df, "k", "l", "r").head()
+    real = np.sort([(l == rnd.permutation(r)).mean() for _ in range(4000)])
+    assert got.observed == pytest.approx((l == r).mean()) and got.p999 == pytest.approx(real[int(0.999 * 3999)], abs=0.01) and got.expected == pytest.approx(real.mean(), abs=0.003)
+    few = permutation_rate(df, "k", "l", "r", exact=1).head()
+    assert few.p999 == pytest.approx(got.p999, abs=0.02)
+
+
+def test_chosen_statements_equal_the_plain_greedy():
+    import pandas as pd
+
+    from quarrystone.operators.pairs import select_mmr
+
+    rnd = np.random.default_rng(6)
+    n = 40
+    rows = pd.DataFrame({"doc": "d", "id": range(n), "worth": rnd.random(n), "terms": [list(map(str, rnd.choice(12, 4, replace=False))) for _ in range(n)], "ws": [list(rnd.random(4)) for _ in range(n)]})
+    vec = [dict(zip(t, w)) for t, w in zip(rows["terms"], rows["ws"])]
+    cos = lambda p, q: sum(w * q.get(t, 0) for t, w in p.items()) / (sum(w * w for w in p.values()) * sum(w * w for w in q.values())) ** 0.5
+    left, want = list(range(n)), []
+    while left and len(want) < 9:
+        best = max(left, key=lambda i: (0.6 * rows["worth"][i] - 0.4 * max([0, *(cos(vec[i], vec[c]) for c in want)]), -i))
+        want.append(best)
+        left.remove(best)
+    assert list(select_mmr(rows, 9, 0.6)["id"]) == want
