@@ -57,7 +57,7 @@ def title_line(x, n: int = 60) -> Column:
 
 
 # Suffixes that are shed, longest first where one contains another; at least four letters must remain.
-SUFFIXES = ("ifications", "ification", "izations", "ization", "ations", "ation", "ements", "ement", "ments", "ment", "ings", "ing", "ers", "ies", "ied", "ed", "es", "er", "ly", "s")
+SUFFIXES = tuple("ifications ification ifying ified ifies ify ations ation ings ing ies ied es ed s".split())
 
 
 def stem(x, suffixes: tuple[str, ...] = SUFFIXES, least: int = 4) -> Column:

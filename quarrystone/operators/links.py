@@ -44,10 +44,14 @@ def defined_links(sts: DataFrame) -> DataFrame:
     return hit.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("definition", "id", "phrase")
 
 
-def polarity_links(sts: DataFrame, tokens: DataFrame, least: float = 0.0, most: int = 3) -> DataFrame:
-    """(denial, id, score): statements of other sources closest to one that denies, where only one of the two does."""
+def polarity_links(sts: DataFrame, tokens: DataFrame, most: int = 3, null: bool = False) -> DataFrame:
+    """(denial, id, doc, score): statements of other sources closest to one that denies, where only one of the two does; with ``null``
+    only those whose score exceeds what random bags of their sizes reach."""
+    from quarrystone.operators.nulls import beats_floor
+
     neg = sts.select("id", negated("text").alias("n"))
-    s = pair_scores(blocked_tokens(tokens)).filter(F.col("score") > least)
+    s = pair_scores(blocked_tokens(tokens))
+    s = beats_floor(s, tokens) if null else s
     j = s.join(neg.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(neg.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").filter("na <> nb")
     x = j.select(F.when(F.col("na"), F.col("a")).otherwise(F.col("b")).alias("denial"), F.when(F.col("na"), F.col("b")).otherwise(F.col("a")).alias("id"), F.when(F.col("na"), F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc"), "score")
     w = Window.partitionBy("denial", "doc").orderBy(F.round("score", 6).desc(), "id")

@@ -56,27 +56,18 @@ def proposals(blocked: DataFrame) -> DataFrame:
     return x.join(y, "token").filter("x.doc < y.doc").groupBy(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b")).agg(F.count("*").alias("shared"))
 
 
-def null_floor(tokens: DataFrame, sizes: DataFrame, draws: int = 40, seed: int = 11) -> DataFrame:
-    """(size, floor): the best score that bags of a size drawn by idf-blind chance reach against each other in ``draws`` tries:
-    tokens are drawn by frequency, so a real pair must beat what frequent words give for free. Draws depend on seed, size, try
-    and place only."""
-    from quarrystone.operators.ordered import cumulative_draws
-
-    idf = idf_bits(tokens)
-    most = sizes.agg(F.max("size")).head()[0] or 0  # one number
-    pool = cumulative_draws(idf.select("token", F.col("df").cast("double").alias("w")), "token", "w", max(1, 2 * draws * max(1, most)), seed)
-    p = pool.join(idf, "token").withColumn("try", F.floor((F.col("draw") - 1) / (2 * max(1, most)))).withColumn("side", F.floor((F.col("draw") - 1) / max(1, most)) % 2).withColumn("place", (F.col("draw") - 1) % max(1, most))
-    s = sizes.select("size").distinct().crossJoin(p).filter("place < size").select("size", "try", "side", "token", "idf").distinct()
-    a, b = s.filter("side = 0"), s.filter("side = 1")
-    got = a.join(b.select("size", "try", "token"), ["size", "try", "token"]).groupBy("size", "try").agg(F.sum("idf").alias("score"))
-    return sizes.select("size").distinct().join(got.groupBy("size").agg(F.max("score").alias("floor")), "size", "left").select("size", F.coalesce("floor", F.lit(0.0)).alias("floor"))
-
-
-def read_across(sts: DataFrame, least: float = 0.0) -> DataFrame:
-    """Mutually best pairs of statements of two documents, scored, per pair of documents."""
-    s = pair_scores(blocked_tokens(token_table(sts))).filter(F.col("score") > least)
+def read_across(sts: DataFrame, null: bool = True) -> DataFrame:
+    """Mutually best pairs of statements of two documents, scored, per pair of documents; with ``null`` only those whose score exceeds
+    what random bags of their sizes reach (see ``nulls.floors``)."""
+    tokens = token_table(sts)
+    s = pair_scores(blocked_tokens(tokens))
     both = s.select("a", "b", "doc_a", "doc_b", "shared", "score", F.concat_ws("|", "a", "doc_b").alias("ka"), F.concat_ws("|", "b", "doc_a").alias("kb"))
-    return mutual_best(both, "ka", "kb").select("a", "b", "doc_a", "doc_b", "shared", "score")
+    best = mutual_best(both, "ka", "kb").select("a", "b", "doc_a", "doc_b", "shared", "score")
+    if not null:
+        return best
+    from quarrystone.operators.nulls import beats_floor
+
+    return beats_floor(best, tokens)
 
 
 def shingle_jaccard(df: DataFrame, key: str, text: str, least: float = 0.8, n: int = 5) -> DataFrame:

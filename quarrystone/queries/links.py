@@ -8,8 +8,10 @@ from quarrystone.operators import aggregates as ag
 from quarrystone.operators import alignment as al
 from quarrystone.operators import evidence as ev
 from quarrystone.operators import links as lk
+from quarrystone.operators import nulls as nl
 from quarrystone.operators import oplog as ol
 from quarrystone.operators import pairs as pr
+from quarrystone.operators import repair as rp
 from quarrystone.operators import search as se
 from quarrystone.operators import vectors as vc
 from quarrystone.queries.registry import SQL, query
@@ -235,12 +237,17 @@ def merge_devices(t):
     return ol.merge_devices(a, b, e.filter("event_type = 'error' and value > 150"), "id", ["v"])
 
 
-@query("""WITH c AS (SELECT q.vec_id AS query, e.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id % 100 = 0) SELECT count(DISTINCT query) AS queries, CAST(sum(h) AS BIGINT) AS found, round(avg(h),6) AS recall FROM (SELECT a.query, max(CASE WHEN b.key IS NOT NULL THEN 1 ELSE 0 END) AS h FROM (SELECT query, key FROM c WHERE rank=5) a LEFT JOIN (SELECT query, key FROM c WHERE rank<=10) b ON a.query=b.query AND a.key=b.key GROUP BY 1)""")
+@query("""WITH q AS (SELECT id AS query, token, a, b, unnest(list_distinct(regexp_extract_all(lower(verbatim),'[a-z]{5,}'))) AS term FROM obs WHERE id%100=0), c AS (SELECT id AS key, unnest(list_distinct(regexp_extract_all(lower(text),'[a-z]{5,}'))) AS term FROM chunks), h AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, key) AS rank FROM q JOIN c ON c.term=q.term GROUP BY 1,2), g AS (SELECT DISTINCT q.id AS query, c.id AS key FROM obs q JOIN chunks c ON c.token=q.token AND q.a<c.b AND c.a<q.b WHERE q.id%100=0)
+SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS found, round(avg(hit),6) AS recall FROM (SELECT g.query, max(CASE WHEN h.rank<=10 THEN 1 ELSE 0 END) AS hit FROM g LEFT JOIN h ON h.query=g.query AND h.key=g.key GROUP BY 1)""")
 def span_recall(t):
-    """Whether the passage that answers is among the first ten."""
-    e = t.embeddings
-    h = vc.search(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
-    return se.span_recall(h, h.filter("rank = 5").select("query", "key"), 10)
+    """Whether a chunk that holds a quoted passage by its place is among the ten that share most words with it."""
+    q = t.obs.filter("id % 100 = 0")
+    terms = lambda x: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z]{5,}"), F.lit(0)))).alias("term")
+    j = q.select(F.col("id").alias("query"), terms("verbatim")).join(t.chunks.select(F.col("id").alias("key"), terms("text")), "term").groupBy("query", "key").agg(F.count("*").alias("n"))
+    hits = j.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "key")))
+    c = t.chunks.select(F.col("id").alias("key"), "token", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    truth = q.join(c, "token").filter("a < cb and ca < b").select(F.col("id").alias("query"), "key").distinct()
+    return se.span_recall(hits.select("query", "key", "rank"), truth, 10)
 
 
 @query()
@@ -261,7 +268,7 @@ def summary_ladder(t):
 
 @query()
 def read_across(t):
-    """Mutually best pairs of statements of two contracts."""
+    """Mutually best pairs of statements of two contracts that beat chance."""
     o = t.obs.filter("token is not null").select("id", F.col("token").alias("doc"), F.col("verbatim").alias("text"))
     return pr.read_across(o)
 
@@ -291,7 +298,8 @@ def prose_or_record(t):
 def null_floor(t):
     """The score chance reaches, by size of a statement."""
     tok = shared_tokens(t, None)
-    return pr.null_floor(tok, tok.groupBy("id").agg(F.count("*").alias("size")).select("size").distinct())
+    n = tok.groupBy("id").agg(F.count("*").alias("na")).select("na", F.col("na").alias("nb")).distinct()
+    return nl.floors(tok, n).select(F.col("na").alias("size"), "floor")
 
 
 @query()
@@ -338,3 +346,15 @@ def candidate_binding(t):
     g = t.contracts.select(F.col("token").alias("id"), F.split(F.lower(sc.text_of("party")), r"\W+").alias("words"), F.lit("party").alias("kind"), F.lit(2020).alias("year")).dropDuplicates(["id"])
     s = t.signers.filter("name is not null").select(F.col("name").alias("cand"), F.col("token").alias("id"), F.split(F.lower("name"), r"\W+").alias("words"), F.lit("party").alias("kind"), F.lit(None).cast("int").alias("since"), F.lit(None).cast("int").alias("until")).distinct()
     return lk.bind_candidates(g, s).select("id", "cand", "shared", "verdict")
+
+
+@query()
+def polarity_beaten(t):
+    """Denials and statements of other sources nearer to them than chance brings any of their sizes."""
+    return lk.polarity_links(t.obs.select("id", F.col("verbatim").alias("text")), shared_tokens(t, None), null=True).select("denial", "id")
+
+
+@query()
+def misread_words(t):
+    """Words of the contracts' texts that the corpus hardly knows, and what they are mended to or why not."""
+    return rp.repairs(t.chunks, "id", "text")

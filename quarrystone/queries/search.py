@@ -133,3 +133,15 @@ def name_resolution(t):
     """The one person a part of a name stands for, if there is just one."""
     n = t.signers.select("name").distinct()
     return se.resolve(n.withColumn("ref", sc.referent_key("name")), "name", "ref", "Nadia Renshter")
+
+
+@query()
+def stems_df(t):
+    """The inverted index of observations, by Porter stem."""
+    return se.inverted_stems(t.obs, "id", "verbatim").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query()
+def fts_stems(t):
+    """Observations that hold the stems of every word asked for."""
+    return se.match_stems(se.inverted_stems(t.obs, "id", "verbatim"), "id", "federal inspections")

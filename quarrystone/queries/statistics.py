@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import scalars as sc
 from quarrystone.operators import evidence as ev
+from quarrystone.operators import nulls as nl
 from quarrystone.operators import pairs as pr
 from quarrystone.queries.registry import SQL, query
+from quarrystone.session import cut
 
 W = "SELECT id, token AS doc, lower(w) AS stem FROM (SELECT id, token, unnest(regexp_extract_all(lower(coalesce(verbatim,'')),'[a-z]{4,}')) AS w FROM obs)"
 
@@ -212,3 +214,43 @@ def permutation_rate(t):
     """How often status and flag agree, against shuffles."""
     j = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linestatus").alias("a")).join(t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("b")), "k")
     return ev.permutation_rate(j, "k", "a", "b")
+
+
+@query()
+def region_rate(t):
+    """The share of active contracts in the smallest region whose rate chance doesn't give it."""
+    c = t.contracts.select("party", "department", F.lit("all").alias("everywhere"), (F.col("status") == "Active").alias("hit"))
+    return nl.ladder_rate(c, ["party", "department", "everywhere"], "hit")
+
+
+@query()
+def phrase_keyness(t):
+    """Signers' names that the contracts' texts say more than their words would by chance."""
+    n = t.signers.filter("name is not null").select("name", F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("stems")).distinct()
+    d = t.obs.filter("verbatim is not null").select("id", F.regexp_extract_all(F.lower("verbatim"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("stems"))
+    w = d.select(F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    return nl.phrase_keyness(n, d, ev.background(w))
+
+
+def proposed(t, measure):
+    """Statements of different contracts that share rare words, with a likeness of all their words."""
+    tok = cut(shared_tokens(t, None), "tokens")
+    n = tok.groupBy("id").agg(F.count("*").alias("n"))
+    p = pr.pair_scores(pr.blocked_tokens(tok)).select("a", "b")
+    x, y = tok.select(F.col("id").alias("a"), "token"), tok.select(F.col("id").alias("b"), "token")
+    k = p.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("k"))
+    j = k.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    like = F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) if measure == "jaccard" else F.col("k") / F.sqrt(F.col("na") * F.col("nb"))
+    return nl.beats_floor(j.select("a", "b", like.alias("score")), tok, measure=measure, draws=199)
+
+
+@query()
+def echo_jaccard_null(t):
+    """Statements of different contracts whose words overlap more than in any of 199 draws of their sizes."""
+    return proposed(t, "jaccard")
+
+
+@query()
+def echo_cosine_null(t):
+    """The same by cosine."""
+    return proposed(t, "cosine")

@@ -3,8 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarrystone.functions.stems import with_stems
 from quarrystone.operators import links as lk
+from quarrystone.operators import nulls as nl
 from quarrystone.operators import pairs as pr
+from quarrystone.operators import repair as rp
+from quarrystone.operators import search as se
 
 
 def rows(df):
@@ -88,7 +92,7 @@ def test_admission_needs_places():
 
 def test_null_rises_with_size(spark):
     tok = spark.createDataFrame([(i, f"d{i}", f"w{(i * 7 + j * j) % 37}") for i in range(60) for j in range(8)], "id int, doc string, token string").distinct()
-    f = {r["size"]: r.floor for r in pr.null_floor(tok, spark.createDataFrame([(2,), (8,)], "size int")).collect()}
+    f = {r.na: r.floor for r in nl.floors(tok, spark.createDataFrame([(2, 2), (8, 8)], "na int, nb int")).collect()}
     assert f[8] > f[2] >= 0
 
 
@@ -109,7 +113,8 @@ def test_pairs_of_every_kind(spark):
     assert {r.token: r.df for r in qs.idf_bits_all(t).collect()} == df
     cos = {(a, b): len(bags[a][1] & bags[b][1]) / (len(bags[a][1]) * len(bags[b][1])) ** 0.5 for a, b in want}
     assert {(r.a, r.b) for r in ql.echo_cosine_all(t).collect()} == {k for k, c in cos.items() if c >= 0.3}
-    assert (0, 1) in {(r.a, r.b) for r in ql.read_across(t).collect()}
+    o = t.obs.filter("token is not null").select("id", F.col("token").alias("doc"), F.col("verbatim").alias("text"))
+    assert (0, 1) in {(r.a, r.b) for r in pr.read_across(o, null=False).collect()}
 
 
 def test_rows_of_any_letters(spark):
@@ -128,3 +133,71 @@ def test_rows_of_any_letters(spark):
     assert [(r.token, r.d) for r in qt.name_similarity_all(t).orderBy("token").collect()] == [("a", 1), ("b", 1), ("c", 1)]
     assert rows(ql.defined_links_all(t)) == [(1, 2, "жilet fee")]
     assert rows(ql.page_choice_all(t)) == [("a", "clause", obs[0][3]), ("b", "notice", obs[1][3])]
+
+
+# ---- nulls that decide
+
+
+def worded(spark):
+    """Documents of random words; the first two statements share far more than chance, the others do not."""
+    import random
+
+    rnd = random.Random(3)
+    vocab = [f"{a}{b}word" for a in "bcdfghklmnpr" for b in "aeiou"]
+    rows = [(i, f"d{i % 30}", w) for i in range(300) for w in {rnd.choice(vocab) for _ in range(6)}]
+    twin = ["zilch", "quartz", "vortex", "jacket", "wyvern"]
+    return spark.createDataFrame(rows + [(900, "x", w) for w in twin] + [(901, "y", w) for w in twin], "id int, doc string, token string").distinct()
+
+
+@pytest.mark.parametrize("measure", ["idf", "jaccard", "cosine"])
+def test_only_what_beats_chance_is_kept(spark, measure):
+    tok = worded(spark)
+    own = {}
+    for r in tok.collect():
+        own.setdefault(r.id, set()).add(r.token)
+    like = {"idf": lambda a, b: 5.0 * len(a & b), "jaccard": lambda a, b: len(a & b) / len(a | b), "cosine": lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5}[measure]
+    pairs = [(900, 901, float(like(own[900], own[901]) * (9 if measure == "idf" else 1))), (0, 1, 0.01), (2, 3, 0.02)]
+    df = spark.createDataFrame(pairs, "a int, b int, score double")
+    assert {(r.a, r.b) for r in nl.beats_floor(df, tok, measure=measure, draws=40).collect()} == {(900, 901)}
+    f = {(r.na, r.nb): r.floor for r in nl.floors(tok, spark.createDataFrame([(2, 2), (5, 5), (3, 6)], "na int, nb int"), measure).collect()}
+    g = {(r.na, r.nb): r.floor for r in nl.floors(tok.repartition(7), spark.createDataFrame([(5, 5), (6, 6)], "na int, nb int"), measure).collect()}
+    assert f[5, 5] == pytest.approx(g[5, 5]) and all(x >= 0 for x in f.values())
+    assert nl.beats_floor(df.limit(0), tok, measure=measure).count() == 0
+
+
+def test_a_region_needs_a_rate_of_its_own(spark):
+    rows = [("p1", "d1", "all", i < 57) for i in range(60)] + [("p2", "d1", "all", i % 2 == 0) for i in range(60)] + [("p3", "d2", "all", i % 2 == 0) for i in range(400)] + [(None, "d2", "all", None), ("p4", None, "all", True), ("p4", None, "all", None)]
+    df = spark.createDataFrame(rows, "party string, dept string, every string, hit boolean")
+    got = {(r.party, r.dept): (r.rate, r.region) for r in nl.ladder_rate(df, ["party", "dept", "every"], "hit").collect()}
+    n, k = 521, 57 + 30 + 200 + 1
+    assert got["p1", "d1"] == (57 / 60, "party") and got["p3", "d2"] == (0.5, "party") and got["p4", None] == (k / n, "every") and len(got) == 5
+    assert nl.ladder_rate(df.limit(0), ["party", "dept", "every"], "hit").count() == 0
+
+
+def test_names_said_more_than_their_words_would_be(spark):
+    docs = spark.createDataFrame([(i, ("the road to old town and the new bridge " * 3 + ("mary lee " if i % 2 else "see ")).split()) for i in range(60)], "id int, stems array<string>")
+    bg = docs.select(F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    bg = bg.select("stem", (F.col("n") / 1740).alias("p"))
+    names = spark.createDataFrame([("Mary Lee", ["mary", "lee"]), ("Road Bridge", ["road", "bridge"]), ("Nobody", ["nobody"]), ("", [])], "name string, stems array<string>")
+    got = {r.name: (r["count"], r.outside) for r in nl.phrase_keyness(names, docs, bg).collect()}
+    assert got == {"Mary Lee": (30, True), "Road Bridge": (0, False)}
+
+
+# ---- stems and repair
+
+
+def test_porter(spark):
+    want = dict(x.split(":") for x in "caresses:caress ponies:poni cats:cat feed:feed agreed:agre bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop falling:fall hissing:hiss filing:file happy:happi sky:sky relational:relat rational:ration digitizer:digit triplicate:triplic formalize:formal hopeful:hope goodness:good revival:reviv allowance:allow airliner:airlin replacement:replac adjustment:adjust dependent:depend adoption:adopt effective:effect probate:probat rate:rate cease:ceas controll:control roll:roll generalizations:gener oscillators:oscil a:a é:é".split())
+    df = spark.createDataFrame([(w,) for w in want] + [(None,)], "w string")
+    assert {r.w: r.stem for r in with_stems(df, "w").collect()} == want | {None: None}
+    d = spark.createDataFrame([(1, "Federal inspections were made"), (2, "the federal inspector"), (3, None), (4, "inspected federally")], "id int, t string")
+    assert {r.id for r in se.match_stems(se.inverted_stems(d, "id", "t"), "id", "federal inspection").collect()} == {1, 4}
+
+
+def test_misread_words_need_a_witness(spark):
+    base = ["the council shall inspect the hydrant", "inspect the hydrant and the grant", "the council shall grant the hydrant", "walk walked talk talked call called jump jumped look looked ask asked", "walk walked talk talked call called jump jumped look looked ask asked", "walk walked talk talked call called jump jumped look looked ask asked"]
+    rows = [(i, t) for i, t in enumerate(base * 3)] + [(90, "the counci shall inspect"), (91, "nobody near hydrart here"), (92, "they granted it"), (93, None), (94, ""), (95, "jumpe of it")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {(r.doc, r.word): (r.candidate, r.verdict) for r in rp.repairs(df, "id", "t").collect()}
+    assert got[90, "counci"] == ("council", "repaired") and got[91, "hydrart"] == ("hydrant", "no witness") and got[95, "jumpe"][1] in ("no witness", "several candidates")
+    assert rp.repairs(df.limit(0), "id", "t").count() == 0
