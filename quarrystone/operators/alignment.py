@@ -59,9 +59,39 @@ def lcs(a: list[str], b: list[str], same: Callable[[str, str], bool] = lambda x,
     return out
 
 
-def match_words(a: list[str], b: list[str], most: int = 2_000_000) -> list[tuple[int, int]]:
+def prefix_lengths(a: list[str], b: list[str]) -> list[int]:
+    """The length of a longest common subsequence of a and each beginning of b, by bit vectors: one big addition a word of a."""
+    where: dict[str, int] = {}
+    for j, w in enumerate(b):
+        where[w] = where.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for w in a:
+        m = v & where.get(w, 0)
+        v = (v + m | v - m) & full
+    out, n = [0], 0
+    for bit in reversed(format(v, f"0{len(b)}b")) if b else "":
+        n += bit == "0"
+        out.append(n)
+    return out
+
+
+def common(a: list[str], b: list[str], small: int = 40_000) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of lists of any length: a is halved, b is cut where both halves' lengths add up to
+    most, and what is small enough goes through the plain table."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) <= small or len(a) == 1:
+        return lcs(a, b)
+    h = len(a) // 2
+    x, y = prefix_lengths(a[:h], b), prefix_lengths(a[h:][::-1], b[::-1])
+    j = max(range(len(b) + 1), key=lambda k: x[k] + y[len(b) - k])
+    return common(a[:h], b[:j], small) + [(i + h, k + j) for i, k in common(a[h:], b[j:], small)]
+
+
+def match_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched places of two word lists: three-word runs that stand once in each pin it, what lies between pins is aligned by
-    longest common subsequence (stretches of more than ``most`` cells stay open)."""
+    longest common subsequence, however long it is."""
 
     def once(x):
         c = Counter(zip(x, x[1:], x[2:]))
@@ -72,8 +102,7 @@ def match_words(a: list[str], b: list[str], most: int = 2_000_000) -> list[tuple
     pins = increasing(sorted({(i + k, j + k) for i, j in pins for k in range(3)}))
     out, i, j = [], 0, 0
     for x, y in [*pins, (len(a), len(b))]:
-        if x > i and y > j and (x - i) * (y - j) <= most:
-            out += [(i + u, j + v) for u, v in lcs(a[i:x], b[j:y])]
+        out += [(i + u, j + v) for u, v in common(a[i:x], b[j:y])]
         if x < len(a):
             out.append((x, y))
         i, j = x + 1, y + 1

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrystone.functions import scalars as sc
+from quarrystone.operators import contradictions as cd
 from quarrystone.operators import evidence as ev
 from quarrystone.operators import nulls as nl
 from quarrystone.operators import pairs as pr
@@ -254,3 +255,20 @@ def echo_jaccard_null(t):
 def echo_cosine_null(t):
     """The same by cosine."""
     return proposed(t, "cosine")
+
+
+AMOUNTS = r"\$([0-9][0-9,]*(?:\.[0-9]+)?)"
+
+
+@query("""WITH v AS (SELECT token AS doc, regexp_extract(verbatim,'[$]([0-9][0-9,]*(?:[.][0-9]+)?)',1) AS raw, ' '||trim(regexp_replace(lower(verbatim),'[^a-z0-9]+',' ','g'))||' ' AS w FROM obs WHERE regexp_matches(coalesce(verbatim,''),'[$][0-9]') AND regexp_full_match(verbatim,'[\\x00-\\x7f]*')),
+x AS (SELECT doc, raw, TRY_CAST(replace(raw,',','') AS DOUBLE) AS value, CASE WHEN contains(w,' paid ') OR contains(w,' invoiced ') THEN 'paid' WHEN contains(w,' exceed ') THEN 'exceed' END AS key FROM v),
+y AS (SELECT *, CASE WHEN doc IS NULL OR value IS NULL THEN 'incomplete' WHEN key IS NULL THEN 'no referent near' END AS why FROM x), o AS (SELECT key, doc, min(value) AS lo, max(value) AS hi, count(DISTINCT value) AS k FROM y WHERE why IS NULL GROUP BY 1,2)
+SELECT CASE WHEN count(*)=1 THEN 'gap' WHEN max(hi)>min(lo) THEN 'contradiction' ELSE 'agreement' END AS part, 'dollars' AS unit, key AS referent, (SELECT count(DISTINCT value) FROM y WHERE y.key=o.key AND why IS NULL) AS n_values, count(*) AS n_docs, CASE WHEN count(*)=1 THEN 'a single source' END AS why FROM o GROUP BY key
+UNION ALL SELECT 'unstable', 'dollars', key, max(k), count(*), 'one source states several' FROM o WHERE k>1 GROUP BY key
+UNION ALL SELECT 'refusal', 'dollars', NULL, count(DISTINCT value), count(DISTINCT doc), why FROM y WHERE why IS NOT NULL GROUP BY why""")
+def contradiction_records(t):
+    """What contracts say was paid and must not be exceeded, and what is left out of that."""
+    o = t.obs.filter(F.col("verbatim").rlike(r"\$[0-9]") & F.col("verbatim").rlike(r"\A[\x00-\x7f]*\z"))
+    raw = F.regexp_extract("verbatim", AMOUNTS, 1)
+    v = o.select("id", F.col("token").alias("doc"), raw.alias("raw"), F.regexp_replace(raw, ",", "").try_cast("double").alias("value"), F.lit("dollars").alias("unit"), F.lit(None).cast("string").alias("referent"), F.col("verbatim").alias("window"))
+    return cd.contradiction_records(v, "How much was paid, how much did exceed?", {"paid": ["invoiced"]})

@@ -178,7 +178,7 @@ def score_memento(status: Column, length: Column, when: Column, now: Column) ->
     return ok + F.log10(F.greatest(F.lit(1.0), F.coalesce(length.cast("double"), F.lit(1.0)))) - F.datediff(now, when) / 3650.0
 
 
-def form_fields(text: str | None, most: int = 60) -> list[tuple[str, str]]:
+def form_fields(text: str | None) -> list[tuple[str, str]]:
     """(label, value) of a form's lines: 'label: value', two blanks or a dash between; labels of at most six words, no digit."""
     out = []
     for line in (text or "").split("\n"):
@@ -196,8 +196,6 @@ def form_fields(text: str | None, most: int = 60) -> list[tuple[str, str]]:
         if len(label) < 2 or len(label.split()) > 6 or re.search(r"\d", label) or not re.search(r"[A-Za-z]", label) or not re.search(r"[^\W_]", value):
             continue
         out.append((label, value[:220]))
-        if len(out) >= most:
-            break
     return out
 
 

@@ -201,3 +201,34 @@ def test_misread_words_need_a_witness(spark):
     got = {(r.doc, r.word): (r.candidate, r.verdict) for r in rp.repairs(df, "id", "t").collect()}
     assert got[90, "counci"] == ("council", "repaired") and got[91, "hydrart"] == ("hydrant", "no witness") and got[95, "jumpe"][1] in ("no witness", "several candidates")
     assert rp.repairs(df.limit(0), "id", "t").count() == 0
+
+
+def test_contradictions_of_one_referent(spark):
+    from quarrystone.operators import contradictions as cd
+
+    said = [("british", "711", "saved"), ("british", "2201", "on board"), ("marshall", "705", "saved"), ("marshall", "1635", "lost"), ("beesley", "705", "rescued"), ("beesley", "1503", "drowned"), ("senate", "500", "needlessly sacrificed"), (None, "9", "saved"), ("x", None, "saved")]
+    v = spark.createDataFrame([(i, d, r, float(r) if r else None, "count", f, "lives") for i, (d, r, f) in enumerate(said)], "id int, doc string, raw string, value double, unit string, referent string, window string")
+    alike = {"saved": ["rescued"], "lost": ["drowned", "perished"]}
+    got = {(r.part, r.referent, r.n_values, r.n_docs, r.why) for r in cd.contradiction_records(v, "How many lives were saved?", alike).collect()}
+    assert got == {("contradiction", "saved", 2, 3, None), ("refusal", None, 4, 4, "another referent"), ("refusal", None, 1, 1, "incomplete")}
+    lost = {(r.part, r.referent, r.n_values) for r in cd.contradiction_records(v, "How many lives were lost?", alike).filter("part <> 'refusal'").collect()}
+    assert lost == {("contradiction", "lost", 2)}
+    assert {(r.part, r.why) for r in cd.contradiction_records(v, "How many?").collect()} == {("refusal", "the question names nothing")}
+    more = spark.createDataFrame([(0, "a", "5", 5.0, None, None, "five boats"), (1, "a", "6", 6.0, None, None, "six boats"), (2, "b", "7", 7.0, "t", None, "boats"), (3, "c", "7", 7.0, "t", None, "Boats!")], v.schema)
+    assert {(r.part, r.unit) for r in cd.contradiction_records(more, "How many boats?").collect()} == {("gap", "?"), ("unstable", "?"), ("agreement", "t")}
+    f = spark.createDataFrame([("s1", 3, 4), ("s2", 3, 9)], "src string, boats_saved int, boats_lost int")
+    assert {(r.part, r.referent) for r in cd.contradiction_records(cd.field_values(f, "src", ["boats_saved", "boats_lost"]), "How many were lost?").filter("part <> 'refusal'").collect()} == {("contradiction", "lost")}
+
+
+def test_common_words_of_any_length():
+    import random
+
+    from quarrystone.operators import alignment as al
+
+    rnd = random.Random(8)
+    for _ in range(60):
+        a, b = ([rnd.choice("abcdefg") for _ in range(rnd.randint(0, 60))] for _ in range(2))
+        got = al.common(a, b, 16)
+        assert len(got) == len(al.lcs(a, b)) and all(a[i] == b[j] for i, j in got) and got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+    long = [rnd.choice(["to", "be", "or", "not"]) for _ in range(4000)]
+    assert len(al.match_words(long, long[200:] + long[:200])) >= 3700
