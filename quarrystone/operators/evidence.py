@@ -120,15 +120,19 @@ def binomial_tail(k: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(k.cast("int"), n.cast("int")), F.lit(0.0), lambda s, i: s + F.exp(log_choose(n, i) - n * math.log(2)))
 
 
-def holm(tests: DataFrame, p: str = "p", key: str = "id", alpha: float = 0.05) -> DataFrame:
-    """Tests with kept: Holm's step-down at alpha; once one fails all larger p fail. A p over alpha (or null) can't be kept, so
-    only the others are put in one order."""
-    m = tests.agg(F.count("*").alias("__m"))
-    w = Window.partitionBy(F.lit(0)).orderBy(p, key)
-    x = tests.filter(F.col(p) <= alpha).crossJoin(F.broadcast(m))
-    x = x.withColumn("__ok", F.col(p) <= F.lit(alpha) / (F.col("__m") - F.row_number().over(w) + 1))
-    x = x.withColumn("kept", F.bool_and("__ok").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__ok", "__m")
-    return x.unionByName(tests.filter(F.coalesce(F.col(p) > alpha, F.lit(True))).withColumn("kept", F.lit(False)))
+def holm(tests: DataFrame, p: str = "p", key: str = "id", alpha: float = 0.05, parts: int = 4096) -> DataFrame:
+    """Tests with kept: Holm's step-down at alpha; once one fails all larger p fail. A p over alpha (or null) can't be kept.
+
+    Of equal p the first has the strictest bar, so a p stands or falls as one, and all that is asked of the order is how many
+    tests have a smaller p: sums of ``parts`` ranges, and within a range of its distinct p. No order runs over all tests."""
+    m = tests.agg(F.count("*").alias("m"))
+    d = tests.filter(F.col(p) <= alpha).groupBy(F.col(p).alias("v")).agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("v") / alpha * parts))
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over parts + 1 rows at most
+    sums = d.groupBy("part").agg(F.sum("n").alias("k")).withColumn("below", F.coalesce(F.sum("k").over(whole), F.lit(0))).select("part", "below")
+    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    x = d.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, "part").crossJoin(F.broadcast(m))
+    fail = x.filter(F.col("v") > F.lit(alpha) / (F.col("m") - F.col("below") - F.col("inside"))).agg(F.min("v").alias("__fail"))
+    return tests.crossJoin(F.broadcast(fail)).withColumn("kept", F.coalesce((F.col(p) <= alpha) & (F.col("__fail").isNull() | (F.col(p) < F.col("__fail"))), F.lit(False))).drop("__fail")
 
 
 def overlap_null(sizes: DataFrame, n: int, draws: int = DRAWS, seed: int = 5) -> DataFrame:

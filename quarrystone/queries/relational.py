@@ -152,10 +152,10 @@ def band_join_events(t):
     return jn.band(a, b, ["user_id"], "sa", "sb", 600.0).select("a", "b")
 
 
-@query("""SELECT o.id AS obs_id, c.id AS chunk_id FROM obs o JOIN chunks c ON o.token=c.token AND o.a<c.b AND c.a<o.b AND o.a<o.b AND c.a<c.b WHERE o.kind='amount'""")
+@query("""SELECT o.id AS obs_id, c.id AS chunk_id FROM obs o JOIN chunks c ON o.token=c.token AND o.a<c.b AND c.a<o.b AND o.a<o.b AND c.a<c.b""")
 def span_overlap(t):
     """Observations and the chunks of the same text they stand in."""
-    o = t.obs.filter("kind = 'amount' and a < b").select("token", F.col("id").alias("obs_id"), F.col("a").alias("oa"), F.col("b").alias("ob"))
+    o = t.obs.filter("a < b").select("token", F.col("id").alias("obs_id"), F.col("a").alias("oa"), F.col("b").alias("ob"))
     c = t.chunks.filter("a < b").select("token", F.col("id").alias("chunk_id"), F.col("a").alias("ca"), F.col("b").alias("cb"))
     return jn.bucketed_range(o, c, ["token"], "oa", "ob", "ca", "cb", 1000.0).select("obs_id", "chunk_id")
 
@@ -240,10 +240,10 @@ def windowed_rate_eta(t):
     return ag.rate_eta(e, "ts", F.col("now"), 6000, F.lit(1000000))
 
 
-@query("""SELECT regexp_replace(trim(regexp_replace(verbatim,'\\s+',' ','g')),'[0-9]+','#','g')[:40] AS kind, count(*) AS n FROM obs WHERE kind='date' AND verbatim IS NOT NULL GROUP BY 1""")
+@query("""SELECT regexp_replace(trim(regexp_replace(verbatim,'\\s+',' ','g')),'[0-9]+','#','g')[:40] AS kind, count(*) AS n FROM obs WHERE verbatim IS NOT NULL GROUP BY 1""")
 def reason_histogram(t):
     k = F.substring(F.regexp_replace(F.trim(F.regexp_replace("verbatim", r"\s+", " ")), "[0-9]+", "#"), 1, 40)
-    return t.obs.filter("kind = 'date' and verbatim is not null").groupBy(k.alias("kind")).agg(F.count("*").alias("n"))
+    return t.obs.filter("verbatim is not null").groupBy(k.alias("kind")).agg(F.count("*").alias("n"))
 
 
 FIELDS = ["token", "number", "party", "department", "expires", "status", "fetched_at", "archive_url"]
