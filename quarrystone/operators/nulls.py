@@ -36,25 +36,42 @@ def floors(tokens: DataFrame, sizes: DataFrame, measure: str = "idf", draws: int
     top = 1
     while top < most:
         top *= 2  # so that the draws don't hang on the largest size exactly
-    b = bags(tokens, top, draws, seed).groupBy("try").agg(F.map_from_entries(F.collect_list(F.struct("side", "bag"))).alias("sides"))
-    one = b.agg(F.collect_list(F.struct("try", "sides")).alias("all"))  # 2 x draws bags of at most twice the largest size
+    # 2 x draws bags of at most twice the largest size: their size hangs on the longest statement, not on the corpus.
+    drawn: dict[int, dict[int, list]] = {}
+    for r in bags(tokens, top, draws, seed).collect():
+        drawn.setdefault(r["try"], {})[r["side"]] = [(x["token"], x["idf"]) for x in r["bag"]]
+    ready = tokens.sparkSession.sparkContext.broadcast([met(d.get(0, []), d.get(1, [])) for _, d in sorted(drawn.items())])
 
     def run(frames):
         for f in frames:
-            rows = []
-            for na, nb, every in zip(f["na"], f["nb"], f["all"]):
-                best = 0.0
-                for d in every:
-                    sides = dict(d["sides"])
-                    x, y = ({t["token"]: t["idf"] for t in list(sides.get(k, ()))[:n]} for k, n in ((0, na), (1, nb)))
-                    both = x.keys() & y.keys()
-                    if both:
-                        got = sum(x[t] for t in both) if measure == "idf" else len(both) / len(x.keys() | y.keys()) if measure == "jaccard" else len(both) / (len(x) * len(y)) ** 0.5
-                        best = max(best, got)
-                rows.append((na, nb, best))
-            yield pd.DataFrame(rows, columns=["na", "nb", "floor"])
-
-    return s.crossJoin(F.broadcast(one)).mapInPandas(run, "na int, nb int, floor double")
+            na, nb = f["na"].to_numpy(), f["nb"].to_numpy()
+            best = np.zeros(len(f))
+            for i, j, w, x, y in ready.value:
+                both = (i[None, :] < na[:, None]) & (j[None, :] < nb[:, None])
+                if measure == "idf":
+                    got = both @ w
+                else:
+                    k, dx, dy = both.sum(1), x[np.minimum(na, len(x) - 1)], y[np.minimum(nb, len(y) - 1)]
+                    got = k / np.maximum(1, dx + dy - k) if measure == "jaccard" else k / np.sqrt(np.maximum(1, dx * dy))
+                best = np.maximum(best, got)
+            yield f.assign(floor=best)
+
+    return s.mapInPandas(run, "na int, nb int, floor double")
+
+
+def met(x: list[tuple[str, float]], y: list[tuple[str, float]]) -> tuple[np.ndarray, ...]:
+    """Of two bags in order: where each shared token first stands in either, its idf, and how many different tokens the beginnings hold."""
+    first: list[dict[str, int]] = [{}, {}]
+    counts = []
+    for side, bag in zip(first, (x, y)):
+        n = [0]
+        for at, (t, _) in enumerate(bag):
+            side.setdefault(t, at)
+            n.append(len(side))
+        counts.append(np.array(n))
+    idf = dict(x)
+    both = sorted(first[0].keys() & first[1].keys())
+    return np.array([first[0][t] for t in both], int), np.array([first[1][t] for t in both], int), np.array([idf[t] for t in both], float), *counts
 
 
 def beats_floor(pairs: DataFrame, tokens: DataFrame, score: str = "score", measure: str = "idf", draws: int = 40, seed: int = 11) -> DataFrame:
