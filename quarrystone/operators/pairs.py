@@ -10,15 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.scalars import bag, draw, words
+from quarrystone.functions.scalars import bigrams, draw, words
 from quarrystone.operators.joins import mutual_best
 from quarrystone.session import cut
 
 
 def token_table(sts: DataFrame, key: str = "id", doc: str = "doc", text: str = "text", with_pairs: bool = True) -> DataFrame:
     """(id, doc, token): distinct tokens of statements of 12 characters or more."""
-    t = bag(text) if with_pairs else F.array_distinct(words(text))
-    return sts.filter(F.length(text) >= 12).select(F.col(key).alias("id"), F.col(doc).alias("doc"), F.explode(t).alias("token"))
+    # The words are a column of their own first: within the pairs' lambda they would be taken apart anew for every pair.
+    w = sts.filter(F.length(text) >= 12).select(F.col(key).alias("id"), F.col(doc).alias("doc"), words(text).alias("w"))
+    t = F.array_union(F.array_distinct("w"), F.array_distinct(bigrams(F.col("w")))) if with_pairs else F.array_distinct("w")
+    return w.select("id", "doc", F.explode(t).alias("token"))
 
 
 def idf_bits(tokens: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def proposals(blocked: DataFrame) -> DataFrame:
 def read_across(sts: DataFrame, null: bool = True) -> DataFrame:
     """Mutually best pairs of statements of two documents, scored, per pair of documents; with ``null`` only those whose score exceeds
     what random bags of their sizes reach (see ``nulls.floors``)."""
-    tokens = token_table(sts)
+    tokens = cut(token_table(sts), "tokens")
     s = pair_scores(blocked_tokens(tokens))
     both = s.select("a", "b", "doc_a", "doc_b", "shared", "score", F.concat_ws("|", "a", "doc_b").alias("ka"), F.concat_ws("|", "b", "doc_a").alias("kb"))
     best = mutual_best(both, "ka", "kb").select("a", "b", "doc_a", "doc_b", "shared", "score")
