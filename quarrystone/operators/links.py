@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.scalars import fold, negated, text_of
 from quarrystone.operators.pairs import blocked_tokens, pair_scores
+from quarrystone.session import cut
 
 
 def best_per_source(scores: DataFrame, most: int = 3) -> DataFrame:
@@ -34,14 +35,59 @@ def definitions(sts: DataFrame) -> DataFrame:
     return sts.select("id", "doc", F.explode(F.regexp_extract_all(text_of("text"), F.lit(DEFINES), F.lit(1))).alias("p")).select("id", "doc", fold("p").alias("phrase")).distinct()
 
 
-def defined_links(sts: DataFrame) -> DataFrame:
-    """(definition, id, phrase): statements of other sources that use a defined phrase, the first definition of each. Looked up by
-    the phrase's first word, so statements are not compared with all definitions."""
-    d = definitions(sts).select(F.col("id").alias("definition"), F.col("doc").alias("ddoc"), "phrase", F.regexp_extract("phrase", r"^([\p{L}\p{M}\p{N}_]+)", 1).alias("w")).filter("w <> ''")
-    t = sts.select("id", "doc", fold("text").alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(fold("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0)))).alias("w"))
-    hit = t.join(d, "w").filter((F.col("doc") != F.col("ddoc")) & F.contains("t", F.col("phrase")))
-    w = Window.partitionBy("id", "phrase").orderBy("definition")
-    return hit.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("definition", "id", "phrase")
+#: Defined phrases that are at hand at once; more are looked for in several passes.
+PHRASES = 200_000
+
+
+def defined_links(sts: DataFrame, at_once: int = PHRASES) -> DataFrame:
+    """(definition, id, phrase): statements of other sources that hold a defined phrase, the first definition of each. Of a phrase
+    only the first definition and the first of another source can be asked for. Texts stay where they are: each is looked
+    through once for every ``at_once`` phrases, so neither texts nor pairs are moved, and nothing of the statements' size is
+    ever broadcast."""
+    d = definitions(sts).filter("doc is not null and id is not null")
+    least = d.groupBy("phrase").agg(F.min(F.struct("id", "doc")).alias("x"))
+    d = d.join(least.hint("merge"), "phrase").groupBy("phrase", "x").agg(F.min(F.when(F.col("doc") != F.col("x.doc"), F.col("id"))).alias("second"))
+    d = d.select("phrase", F.col("x.doc").cast("string").alias("doc"), F.col("x.id").cast("string").alias("first"), F.col("second").cast("string").alias("second"))
+    d = cut(d, "phrases")
+    parts = max(1, -(-d.count() // at_once))
+    kind = dict(sts.dtypes)["id"]
+    texts = sts.filter("doc is not null").select(F.col("id").cast("string").alias("id"), F.col("doc").cast("string").alias("doc"), fold("text").alias("t"))
+    out = None
+    for part in range(parts):
+        rows = d.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).collect()
+        ready = sts.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        hit = texts.mapInPandas(phrase_finder(ready), "definition string, id string, phrase string").select(*[F.col(c).cast(kind).alias(c) for c in ("definition", "id")], "phrase")
+        out = hit if out is None else out.unionByName(hit)
+    return out.groupBy("id", "phrase").agg(F.min("definition").alias("definition")).select("definition", "id", "phrase")
+
+
+def phrase_finder(ready):
+    """Of a broadcast list (phrase, doc, first, second): the phrases that texts (id, doc, t) hold, wherever in a word they begin or end."""
+
+    def run(frames):
+        heads: dict[str, dict] = {}  # the first six characters, or all of a shorter phrase, to phrases by length
+        for phrase, *x in ready.value:
+            heads.setdefault(phrase[:6], {}).setdefault(len(phrase), {})[phrase] = x
+        sizes = sorted({len(h) for h in heads})
+        for f in frames:
+            rows = []
+            for i, doc, t in zip(f["id"], f["doc"], f["t"]):
+                seen = set()
+                for n in sizes:
+                    for at in range(len(t) - n + 1):
+                        got = heads.get(t[at : at + n])
+                        if got:
+                            for size, phrases in got.items():
+                                p = t[at : at + size]
+                                if p in phrases:
+                                    seen.add(p)
+                for p in seen:
+                    owner, first, second = heads[p[:6]][len(p)][p]
+                    if doc != owner or second is not None:
+                        rows.append((first if doc != owner else second, i, p))
+            yield pd.DataFrame(rows, columns=["definition", "id", "phrase"])
+
+    return run
 
 
 def polarity_links(sts: DataFrame, tokens: DataFrame, most: int = 3, null: bool = False) -> DataFrame:

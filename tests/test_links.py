@@ -20,6 +20,20 @@ def test_definitions_reach_other_sources(spark):
     assert rows(lk.defined_links(s)) == [(1, 2, "harbor fee")]
 
 
+def broadcasts(df):
+    """Whether the plan would broadcast a side, as the optimizer sees it before anything runs."""
+    return "Broadcast" in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_definitions_move_no_texts(spark):
+    s = spark.createDataFrame([(1, "a", 'The "Fee" means a charge.'), (5, "b", 'A "fee" means a toll, "(b) dues" means a sum.'), (2, "b", "No fee, coffees or tofeel."), (3, "c", "A coffee and (b) dues."), (4, None, "fee"), (None, "d", "fee")], "id int, doc string, text string")
+    want = {(1, 2, "fee"), (1, 3, "fee"), (1, 5, "fee"), (5, 1, "fee"), (5, 3, "(b) dues"), (1, None, "fee")}
+    assert {tuple(r) for r in lk.defined_links(s).collect()} == want
+    assert {tuple(r) for r in lk.defined_links(s, at_once=1).collect()} == want  # in several passes
+    plan = lk.defined_links(s)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # statements used to be written out for each word, and broadcast
+
+
 def test_candidates_need_support_and_no_attack(spark):
     g = spark.createDataFrame([(1, ["port", "of", "tarrow"], "place", 1950)], "id int, words array<string>, kind string, year int")
     c = spark.createDataFrame([("x", 1, ["port", "tarrow"], "place", 1900, 2000), ("y", 1, ["port", "tarrow"], "ship", 1900, 2000), ("z", 1, ["port"], None, None, None), ("w", 1, ["tarrow", "port"], "place", 1960, None)], "cand string, id int, words array<string>, kind string, since int, until int")
