@@ -159,15 +159,23 @@ def near_spellings(names: DataFrame, name: str, least: int = 4) -> DataFrame:
     def keys(frames):
         for f in frames:
             rows = []
-            for n in f["n"]:
+            for at, n in zip(f["at"], f["n"]):
                 w = n.lower()
                 one = {w[:i] + w[i + 1 :] for i in range(len(w))}
-                rows += [(n, k) for k in {w} | one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v))}]
-            yield pd.DataFrame(rows, columns=["n", "k"])
-
-    ix = names.select(F.col(name).alias("n")).filter(F.length("n") >= least).distinct().mapInPandas(keys, "n string, k string")
-    x, y = ix.alias("x"), ix.alias("y")
-    pairs = x.join(y, "k").filter("x.n < y.n").select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
+                rows += [(at, k) for k in {w} | one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v))}]
+                if len(rows) > 100_000:  # a frame of names has a few hundred times as many deletions
+                    yield pd.DataFrame(rows, columns=["at", "k"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["at", "k"])
+
+    # Of each deletion only hashes are moved, of each name its number. The optimizer takes the index for as small as the names
+    # it is made of and would broadcast it, so the join is told not to.
+    all_ = cut(names.select(F.col(name).alias("n")).filter(F.length("n") >= least).distinct().withColumn("at", F.monotonically_increasing_id()), "names")
+    ix = all_.mapInPandas(keys, "at bigint, k string").select("at", F.xxhash64("k").alias("k"))
+    x, y = ix.alias("x"), ix.alias("y").hint("merge")
+    near = cut(x.join(y, "k").filter("x.at < y.at").select(F.col("x.at").alias("p"), F.col("y.at").alias("q")).distinct(), "near")
+    both = near.join(all_.select(F.col("at").alias("p"), F.col("n").alias("u")), "p").join(all_.select(F.col("at").alias("q"), F.col("n").alias("v")), "q")
+    pairs = both.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
     @F.pandas_udf("int")
     def dist(a: pd.Series, b: pd.Series) -> pd.Series:

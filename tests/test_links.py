@@ -34,6 +34,14 @@ def test_definitions_move_no_texts(spark):
     assert "Generate" not in plan and "Join" not in plan  # statements used to be written out for each word, and broadcast
 
 
+def test_deletions_of_names_are_not_broadcast(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(pr, "cut", lambda df, what="stage", real=pr.cut: made.append((what, broadcasts(df))) or real(df, what))
+    names = spark.createDataFrame([("Harbor Co",), ("Harbro Co",), ("harbor co",), ("Harbour Cos",), ("Pier",), ("Peir",), ("abc",)], "n string")
+    assert rows(pr.near_spellings(names, "n")) == [("Harbor Co", "Harbour Cos", 2), ("Harbor Co", "Harbro Co", 1), ("Harbor Co", "harbor co", 0), ("Harbour Cos", "harbor co", 2), ("Harbro Co", "harbor co", 1), ("Peir", "Pier", 1)]
+    assert not dict(made).get("near", True)
+
+
 def test_candidates_need_support_and_no_attack(spark):
     g = spark.createDataFrame([(1, ["port", "of", "tarrow"], "place", 1950)], "id int, words array<string>, kind string, year int")
     c = spark.createDataFrame([("x", 1, ["port", "tarrow"], "place", 1900, 2000), ("y", 1, ["port", "tarrow"], "ship", 1900, 2000), ("z", 1, ["port"], None, None, None), ("w", 1, ["tarrow", "port"], "place", 1960, None)], "cand string, id int, words array<string>, kind string, since int, until int")
