@@ -34,6 +34,17 @@ def test_definitions_move_no_texts(spark):
     assert "Generate" not in plan and "Join" not in plan  # statements used to be written out for each word, and broadcast
 
 
+def test_definitions_of_any_letters_move_no_texts(spark):
+    from types import SimpleNamespace
+
+    from quarrystone.queries import links as ql
+
+    o = spark.createDataFrame([(1, "a", "The “Жilet Fee” means a charge."), (2, "b", "Prežilet. The жilet fees."), (3, "a", "жilet fee"), (4, "c", None)], "id long, token string, verbatim string")
+    df = ql.defined_links_all(SimpleNamespace(obs=o))
+    assert rows(df) == [(1, 2, "жilet fee")]
+    assert not broadcasts(df) and "Generate" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_deletions_of_names_are_not_broadcast(spark, monkeypatch):
     made = []
     monkeypatch.setattr(pr, "cut", lambda df, what="stage", real=pr.cut: made.append((what, broadcasts(df))) or real(df, what))
