@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.scalars import fold, negated, text_of
+from quarrystone.operators.blocks import BLOCK, hashes, in_blocks, past
 from quarrystone.operators.pairs import blocked_tokens, pair_scores
 from quarrystone.session import cut
 
@@ -368,9 +369,54 @@ def worth(claims: DataFrame) -> DataFrame:
 
 def attest(prior: DataFrame, sts: DataFrame, least: float = 0.5) -> DataFrame:
     """(prior, id, coverage): the statement that covers most of a prior's terms, if half or more; prior (prior, term), sts (id, term)."""
-    n = prior.groupBy("prior").agg(F.count_distinct("term").alias("n"))
-    c = prior.distinct().join(sts.distinct(), "term").groupBy("prior", "id").agg(F.count("*").alias("k")).join(n, "prior").withColumn("coverage", F.col("k") / F.col("n")).filter(F.col("coverage") >= least)
-    return c.withColumn("__r", F.row_number().over(Window.partitionBy("prior").orderBy(F.desc("coverage"), "id"))).filter("__r = 1").select("prior", "id", "coverage")
+    of = lambda df, key: df.groupBy(key).agg(F.collect_set("term").alias("terms"))
+    return attest_sets(of(prior, "prior"), of(sts, "id"), least)
+
+
+def attest_sets(prior: DataFrame, sts: DataFrame, least: float = 0.5, block: int = 4 * BLOCK) -> DataFrame:
+    """The same of (prior, terms) and (id, terms), one row a key. Statements are blocks of bits a term, which priors run past: no pair of
+    a prior and a statement is ever written, and of each block only the best statement leaves a task."""
+    rows = cut(sts.select("id", F.lit(None).cast("string").alias("doc"), hashes("terms").alias("cs")).filter(F.size("cs") > 0), "statements")
+    p = cut(prior.select("prior", hashes("terms").alias("cs")).filter(F.size("cs") > 0), "priors").repartition("prior")
+    kinds = dict(prior.dtypes) | dict(sts.dtypes)
+
+    def best(b, frames):
+        bits: dict = {}
+        words = -(-len(b.ids) // 64)
+
+        def places(k):
+            got = bits.get(k)
+            if got is None:
+                if len(bits) * words > 8_000_000:
+                    bits.clear()
+                z = np.zeros(64 * words, np.uint8)
+                z[b.postings(k)] = 1
+                got = bits[k] = np.packbits(z, bitorder="little").view("<u8")
+            return got
+
+        for f in frames:
+            out = []
+            for who, cs in zip(f["prior"], f["cs"]):
+                planes: list[np.ndarray] = []  # how many of the terms each statement holds, as bits of that number
+                for k in b.places(cs)[0]:
+                    carry = places(k)
+                    for i, x in enumerate(planes):
+                        planes[i], carry = x ^ carry, x & carry
+                    if carry.any():
+                        planes.append(carry)
+                most, top = 0, None
+                for i in reversed(range(len(planes))):
+                    x = planes[i] if top is None else top & planes[i]
+                    if x.any():
+                        most, top = most | 1 << i, x
+                if top is not None and most / len(cs) >= least:
+                    w = int((top != 0).argmax())
+                    v = int(top[w])
+                    out.append((who, b.ids[64 * w + (v & -v).bit_length() - 1], most / len(cs)))
+            yield pd.DataFrame(out, columns=["prior", "id", "coverage"])
+
+    got = past(p, in_blocks(rows, "id", block), best, f"prior {kinds['prior']}, id {kinds['id']}, coverage double")
+    return got.withColumn("__r", F.row_number().over(Window.partitionBy("prior").orderBy(F.desc("coverage"), "id"))).filter("__r = 1").select("prior", "id", "coverage")
 
 
 def over_tokens(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -176,8 +176,9 @@ def corpus_map(t):
 @query("""WITH p AS (SELECT DISTINCT token AS prior, w AS term FROM (SELECT token, unnest(regexp_extract_all(lower(coalesce(description,'')),'[a-z]{4,}')) AS w FROM contracts)), s AS (SELECT DISTINCT id, w AS term FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(verbatim,'')),'[a-z]{4,}')) AS w FROM obs)), n AS (SELECT prior, count(*) AS n FROM p GROUP BY 1), c AS (SELECT p.prior, s.id, count(*)/min(n) AS coverage FROM p JOIN s ON s.term=p.term JOIN n ON n.prior=p.prior GROUP BY 1,2 HAVING count(*)/min(n)>=0.5) SELECT prior, id, round(coverage,6) AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY prior ORDER BY coverage DESC, id) AS r FROM c) WHERE r=1""")
 def prior_attestation(t):
     """The observation that covers most of a contract's description, if half or more."""
-    words = lambda c: F.explode(F.regexp_extract_all(F.lower(sc.text_of(c)), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")
-    return lk.attest(t.contracts.select(F.col("token").alias("prior"), words("description")), t.obs.select("id", words("verbatim"))).withColumn("coverage", F.round("coverage", 6))
+    words = lambda c: F.regexp_extract_all(F.lower(sc.text_of(c)), F.lit("[a-z]{4,}"), F.lit(0))
+    p = t.contracts.select(F.col("token").alias("prior"), words("description").alias("terms")).groupBy("prior").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    return lk.attest_sets(p, t.obs.select("id", words("verbatim").alias("terms"))).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("""WITH m AS (SELECT DISTINCT name, token FROM signers), s AS (SELECT name, count(*) AS sources FROM m GROUP BY 1) SELECT lower(name) AS name, CAST(sum(k) AS BIGINT) AS sources, min(surface) AS shown FROM (SELECT name, name AS surface, count(DISTINCT token) AS k FROM signers GROUP BY 1,2) GROUP BY 1""")

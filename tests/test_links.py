@@ -53,6 +53,30 @@ def test_deletions_of_names_are_not_broadcast(spark, monkeypatch):
     assert not dict(made).get("near", True)
 
 
+def texts_of(n, seed, words=30, least=0, most=7):
+    import random
+
+    r = random.Random(seed)
+    return [[f"w{int(words * r.random() ** 2)}" for _ in range(r.randint(least, most))] for _ in range(n)]
+
+
+def test_attestation_writes_no_pairs(spark):
+    prior, sts = texts_of(40, 1), texts_of(150, 2)
+    p = spark.createDataFrame([(f"p{i}", x) for i, x in enumerate(prior)], "prior string, terms array<string>")
+    s = spark.createDataFrame([(i, x) for i, x in enumerate(sts)], "id long, terms array<string>")
+    want = []
+    for i, x in enumerate(prior):
+        best = min(((-len({*x} & {*y}) / len({*x}), j) for j, y in enumerate(sts)), default=None) if x else None
+        if best and -best[0] >= 0.5:
+            want.append((f"p{i}", best[1], -best[0]))
+    for block in (1000, 40):  # one block and several
+        got = lk.attest_sets(p, s, block=block)
+        assert rows(got) == sorted(want)
+        assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()  # pairs used to be joined and grouped
+    one = lambda df, key: df.select(key, F.explode("terms").alias("term"))
+    assert rows(lk.attest(one(p, "prior"), one(s, "id"))) == sorted(want)
+
+
 def test_candidates_need_support_and_no_attack(spark):
     g = spark.createDataFrame([(1, ["port", "of", "tarrow"], "place", 1950)], "id int, words array<string>, kind string, year int")
     c = spark.createDataFrame([("x", 1, ["port", "tarrow"], "place", 1900, 2000), ("y", 1, ["port", "tarrow"], "ship", 1900, 2000), ("z", 1, ["port"], None, None, None), ("w", 1, ["tarrow", "port"], "place", 1960, None)], "cand string, id int, words array<string>, kind string, since int, until int")
