@@ -6,11 +6,13 @@ from __future__ import annotations
 from collections import defaultdict
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.scalars import bigrams, draw, words
+from quarrystone.operators.blocks import BLOCK, hashes, in_blocks, past
 from quarrystone.operators.joins import mutual_best
 from quarrystone.session import cut
 
@@ -193,6 +195,35 @@ def echo_cosine(items: DataFrame, least: float) -> DataFrame:
     return s.filter(F.col("cosine") >= least)
 
 
+def echo_sets(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine) of sets (id, doc, terms) of different documents, a < b. Frequent terms make all pairs candidates, so none is moved:
+    rows run past blocks of rows, and only what reaches ``least`` leaves a task."""
+    kind = dict(rows.dtypes)["id"]
+    x = cut(rows.filter("id is not null and doc is not null").select("id", "doc", hashes("terms").alias("cs")).filter(F.size("cs") > 0), "sets")
+
+    def near(b, frames):
+        for f in frames:
+            out, n = [], 0
+            for i, doc, cs in zip(f["id"], f["doc"], f["cs"]):
+                r, k, _ = b.meet(cs, start=int(np.searchsorted(b.ids, i, side="right")))
+                c = k / np.sqrt(len(cs) * b.sizes[r])
+                ok = (c >= least) & (b.docs[r] != b.doc_of.get(doc, -1))
+                if ok.any():
+                    out.append((i, b.ids[r[ok]], c[ok]))
+                    n += len(out[-1][1])
+                if n > 200_000:
+                    yield flat(out)
+                    out, n = [], 0
+            yield flat(out)
+
+    def flat(out):
+        if not out:
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+        return pd.DataFrame({"a": np.repeat([i for i, _, _ in out], [len(b) for _, b, _ in out]), "b": np.concatenate([b for _, b, _ in out]), "cosine": np.concatenate([c for _, _, c in out])})
+
+    return past(x.repartition("id"), in_blocks(x, "id", block), near, f"a {kind}, b {kind}, cosine double")
+
+
 def tfidf(terms: DataFrame) -> DataFrame:
     """(id, term, w) of (id, term, tf): tf * ln(1 + N / df)."""
     n = terms.agg(F.count_distinct("id").alias("n"))

@@ -77,6 +77,22 @@ def test_attestation_writes_no_pairs(spark):
     assert rows(lk.attest(one(p, "prior"), one(s, "id"))) == sorted(want)
 
 
+def test_echoes_write_no_pairs(spark):
+    sets = texts_of(120, 3)
+    x = spark.createDataFrame([(i, f"d{i % 9}" if i % 11 else None, t) for i, t in enumerate(sets)], "id long, doc string, terms array<string>")
+    docs = [f"d{i % 9}" if i % 11 else None for i in range(len(sets))]
+    want = set()
+    for i, p in enumerate(sets):
+        for j, q in enumerate(sets[:i]):
+            k = len({*p} & {*q})
+            if k and docs[i] and docs[j] and docs[i] != docs[j] and k / (len({*p}) * len({*q})) ** 0.5 >= 0.3:
+                want.add((j, i))
+    for block in (1000, 30):
+        got = pr.echo_sets(x, 0.3 - 1e-12, block=block)
+        assert {(r.a, r.b) for r in got.collect()} == want and got.count() == len(want)
+        assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_candidates_need_support_and_no_attack(spark):
     g = spark.createDataFrame([(1, ["port", "of", "tarrow"], "place", 1950)], "id int, words array<string>, kind string, year int")
     c = spark.createDataFrame([("x", 1, ["port", "tarrow"], "place", 1900, 2000), ("y", 1, ["port", "tarrow"], "ship", 1900, 2000), ("z", 1, ["port"], None, None, None), ("w", 1, ["tarrow", "port"], "place", 1960, None)], "cand string, id int, words array<string>, kind string, since int, until int")
