@@ -111,6 +111,25 @@ def test_recall_moves_no_hits(spark):
         assert "Window" not in got._jdf.queryExecution().sparkPlan().toString()  # all hits used to be ranked
 
 
+def test_reading_across_moves_no_pairs(spark):
+    texts = [" ".join(["harbor"] * (not x), ) + " ".join(f"{w}word" for w in x) for x in texts_of(90, 6, words=60, least=3)]
+    doc = lambda i: f"d{i * 7 % 11}"  # noqa: E731  # documents' statements lie between each other
+    s = spark.createDataFrame([(i, doc(i), x) for i, x in enumerate(texts)], "id long, doc string, text string")
+    like = {(r.a, r.b): round(r.score, 9) for r in pr.pair_scores(pr.blocked_tokens(pr.token_table(s))).collect()}
+    want = set()
+    for (a, b), x in like.items():
+        others = [y for (p, q), y in like.items() if (p, q) != (a, b) and {doc(p), doc(q)} == {doc(a), doc(b)} and {p, q} & {a, b}]
+        if all(y < x for y in others):
+            want.add((a, b, doc(a), doc(b), x))
+    assert want
+    for block in (1000, 25):
+        got = pr.read_across(s, null=False, block=block)
+        assert {(r.a, r.b, r.doc_a, r.doc_b, r.score) for r in got.collect()} == want
+        assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
+    beaten = rows(pr.read_across(s).select("a", "b"))
+    assert beaten == rows(pr.read_across(s, sizes=0).select("a", "b")) and {*beaten} < {w[:2] for w in want}
+
+
 def test_candidates_need_support_and_no_attack(spark):
     g = spark.createDataFrame([(1, ["port", "of", "tarrow"], "place", 1950)], "id int, words array<string>, kind string, year int")
     c = spark.createDataFrame([("x", 1, ["port", "tarrow"], "place", 1900, 2000), ("y", 1, ["port", "tarrow"], "ship", 1900, 2000), ("z", 1, ["port"], None, None, None), ("w", 1, ["tarrow", "port"], "place", 1960, None)], "cand string, id int, words array<string>, kind string, since int, until int")
