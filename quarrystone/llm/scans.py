@@ -5,8 +5,9 @@ Learned from the whole corpus, as tables joined by key:
 * counts of all words, of hyphenated compounds and of what stands on either side of line ends with a hyphen;
 * skip-gram vectors with negative sampling: the counts of each word beside the ``CONTEXTS`` most used words, ``SPAN`` places
   either way, are summed in one exchange, and the skip-gram objective over these sums is followed to its maximum by full
-  gradients (what stochastic passes over the text estimate). The context vectors are fitted on the ``FITTED`` most used words,
-  a bounded sample; every other word, however rare, then gets its vector for these contexts from its own uses;
+  gradients (what stochastic passes over the text estimate). The context vectors are fitted on all words: each task keeps its
+  share of them, and only the contexts' gradients are told from task to task. ``CONTEXTS`` is the width of the model: neighbours
+  beyond them are not counted;
 * links of rare words to frequent neighbours: words whose letters are made of the same strokes meet in one bucket, a glyph
   alignment counts the misreadings between them, and the link stands if the frequent word's vector explains the contexts of
   the rare one well enough for how much more frequent it is. Without a vector there is no link;
@@ -23,16 +24,22 @@ ways give the same. Nulls give no kinds and stay null; empty and blank texts com
 from __future__ import annotations
 
 import re
+import secrets
+import socket
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.session import cut
 
-CONTEXTS, FITTED, DIM, SPAN, NEGATIVE = 256, 4_000, 32, 2, 5
+CONTEXTS, DIM, SPAN, NEGATIVE = 256, 32, 2, 5
+#: Words whose gradients are made at once; tasks that fit at most, as each is told of all others' gradients; what one unit of
+#: a told gradient is worth: sums of whole numbers are the same in whatever order and however many tasks.
+BUCKET, TASKS, UNIT = 500, 16, 2.0**-32
 #: How many times as frequent, and how often used, a word must be to be what another was misread from.
 MORE, LEAST = 2, 6
 #: What a link must reach (see ``link_score``): words of letters, words of up to 3 letters, words that hold other signs.
@@ -310,48 +317,153 @@ def dense(cs, ns, size: int) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def climb(parts: list[np.ndarray], gradients, steps: int, rate: float) -> None:
-    """Follow gradients upwards (Adam), in place."""
-    m, s = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    for t in range(1, steps + 1):
-        for i, g in enumerate(gradients()):
-            m[i] = 0.9 * m[i] + 0.1 * g
-            s[i] = 0.99 * s[i] + 0.01 * g * g
-            parts[i] += rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.99**t)) + 1e-8)
+class Climb:
+    """Follows gradients upwards (Adam), in place."""
 
+    def __init__(self, part: np.ndarray, rate: float):
+        self.part, self.rate, self.m, self.s, self.t = part, rate, np.zeros_like(part), np.zeros_like(part), 0
 
-def train(x: np.ndarray, steps: int = 150, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    def step(self, g: np.ndarray) -> None:
+        self.t += 1
+        self.m = 0.9 * self.m + 0.1 * g
+        self.s = 0.99 * self.s + 0.01 * g * g
+        self.part += self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8)
+
+
+def pull(p: np.ndarray, v: np.ndarray, u: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The objective's slope by v u, for each word and context."""
+    q = sigmoid(v @ u.T)
+    q *= p + NEGATIVE * noise
+    return np.subtract(p, q, out=q)
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(x.astype(np.float64) / UNIT).astype(np.int64)
+
+
+def train(buckets: list[tuple[int, np.ndarray]], size: int, total=lambda x: x, steps: int = 150, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(context vectors, noise): skip-gram with negative sampling over the summed counts of words (rows) beside contexts: for each
-    word the mean over its uses of log s(v u) and of NEGATIVE draws of log s(-v u), draws by counts to the power 3/4."""
-    rng = np.random.default_rng(seed)
-    total = x.sum(1, keepdims=True)
-    p, noise = x / np.maximum(total, 1), x.sum(0) ** 0.75
+    word the mean over its uses of log s(v u) and of NEGATIVE draws of log s(-v u), draws by counts to the power 3/4. buckets:
+    (number, counts) of the words that are here; total sums whole numbers over wherever other words are."""
+    words = []
+    beside, weights = np.zeros(size, np.int64), np.zeros(1, np.int64)
+    for k, x in buckets:
+        n = x.sum(1, keepdims=True)
+        beside += x.sum(0, dtype=np.float64).astype(np.int64)
+        weight = (n / (n + 50)).astype(np.float32)
+        weights += whole(weight.sum(dtype=np.float64, keepdims=True)[0])
+        v = 0.1 * np.random.default_rng([seed, k]).standard_normal((len(x), DIM)).astype(np.float32)
+        words.append((x / np.maximum(n, 1), weight, Climb(v, 0.05)))
+    sums = total(np.concatenate([beside, weights]))
+    noise = sums[:size] ** 0.75
     noise = (noise / max(noise.sum(), 1e-9)).astype(np.float32)
-    weight = (total / (total + 50)).astype(np.float32)
-    v, u = (0.1 * rng.standard_normal((n, DIM)).astype(np.float32) for n in x.shape)
+    scale = size / max(1.0, float(sums[size]) * UNIT)
+    up = Climb(0.1 * np.random.default_rng(seed).standard_normal((size, DIM)).astype(np.float32), 0.05)
+    for _ in range(steps):
+        u = up.part
+        gu = np.zeros((size, DIM), np.int64)
+        for p, weight, c in words:
+            g = pull(p, c.part, u, noise)
+            gu += whole(g.T @ (weight * c.part))
+            c.step(g @ u - 0.002 * c.part)
+        up.step((total(gu) * (UNIT * scale)).astype(np.float32) - 0.002 * u)
+    return up.part, noise
+
+
+class Together:
+    """Sums arrays of whole numbers over the tasks of a barrier stage: the others send theirs to the first, which sends back the
+    sum. Spark's own exchange is only used to tell where that one listens, as each of its rounds waits for a second."""
+
+    def __init__(self):
+        ctx = BarrierTaskContext.get()
+        tasks = ctx.getTaskInfos()
+        self.first, self.ends, said = ctx.partitionId() == 0, [], ""
+        if self.first:
+            server, token = socket.create_server(("", 0)), secrets.token_hex(16)
+            said = f"{tasks[0].address.partition(':')[0]} {server.getsockname()[1]} {token}"
+        host, port, token = ctx.allGather(said)[0].split()
+        if not self.first:
+            end = socket.create_connection((host, int(port)), 60)
+            end.sendall(token.encode())
+            self.add(end, end.makefile("rb"))
+            return
+        server.settimeout(60)
+        while len(self.ends) < len(tasks) - 1:
+            end, _ = server.accept()
+            end.settimeout(60)
+            if (got := end.makefile("rb")).read(len(token)) == token.encode():
+                self.add(end, got)
+        server.close()
+
+    def add(self, end: socket.socket, reader) -> None:
+        end.settimeout(None)
+        end.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        self.ends.append((end, reader))
+
+    def read(self, reader, like: np.ndarray) -> np.ndarray:
+        got = reader.read(like.nbytes)
+        if len(got) < like.nbytes:
+            raise ConnectionError("a task of the fit has ended")
+        return np.frombuffer(got, like.dtype).reshape(like.shape)
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        if self.first:
+            x = sum((self.read(reader, x) for _, reader in self.ends), x)
+        for end, _ in self.ends:
+            end.sendall(x.tobytes())
+        return x if self.first else self.read(self.ends[0][1], x)
+
+
+def tasks_at_once(spark) -> int:
+    """How many tasks can run at the same time; 1 where that may change, as tasks that wait for each other aren't possible there."""
+    sc = spark.sparkContext
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 1
+    jsc = sc._jsc.sc()
+    return max(1, jsc.maxNumConcurrentTasks(jsc.resourceProfileManager().defaultResourceProfile()))
+
+
+def fit_contexts(ctx: DataFrame, size: int, tasks: int = TASKS) -> tuple[np.ndarray, np.ndarray]:
+    """What ``train`` gives for all words of ctx (word, cs, ns). Words fall into buckets by hash and stay where they are; the
+    tasks take each step together, and how many there are makes no difference."""
+    n = ctx.count()
+    if not n:
+        return np.zeros((size, DIM), np.float32), np.zeros(size, np.float32)
+    buckets = -(-n // BUCKET)
+    tasks = min(tasks, buckets, tasks_at_once(ctx.sparkSession))
 
-    def gradients():
-        q = sigmoid(v @ u.T)
-        g = p * (1 - q) - NEGATIVE * noise * q
-        return g @ u - 0.002 * v, (g * weight).T @ v * (x.shape[1] / max(1, x.shape[0])) - 0.002 * u
+    def run(frames):
+        mine: dict[int, list] = defaultdict(list)
+        for f in frames:
+            for k, w, cs, ns in zip(f["b"], f["word"], f["cs"], f["ns"]):
+                mine[k].append((w, cs, ns))
+        ready = []
+        for k in sorted(mine):
+            rows = sorted(mine.pop(k), key=lambda r: r[0])
+            ready.append((k, dense([r[1] for r in rows], [r[2] for r in rows], size)))
+        u, noise = train(ready, size, Together().total if tasks > 1 else lambda x: x)
+        if tasks == 1 or BarrierTaskContext.get().partitionId() == 0:
+            yield pd.DataFrame({"c": range(size), "vec": list(u), "noise": noise})
 
-    climb([v, u], gradients, steps, 0.05)
-    return u, noise
+    at = ctx.select("word", "cs", "ns", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("b")).repartitionById(tasks, "b")
+    got = at.mapInPandas(run, "c int, vec array<float>, noise float", barrier=tasks > 1).toPandas().sort_values("c")
+    return np.stack(got["vec"].to_numpy()).astype(np.float32), got["noise"].to_numpy(np.float32)
 
 
 def vectors(x: np.ndarray, u: np.ndarray, noise: np.ndarray, steps: int = 30) -> np.ndarray:
     """Vectors of words by the same objective with the contexts held."""
-    p = x / np.maximum(x.sum(1, keepdims=True), 1)
     v = np.zeros((len(x), u.shape[1]), np.float32)
-
-    def gradients():
-        q = sigmoid(v @ u.T)
-        return ((p * (1 - q) - NEGATIVE * noise * q) @ u - 0.002 * v,)
-
-    climb([v], gradients, steps, 0.1)
+    for i in range(0, len(x), BUCKET):
+        p = x[i : i + BUCKET] / np.maximum(x[i : i + BUCKET].sum(1, keepdims=True), 1)
+        c = Climb(v[i : i + BUCKET], 0.1)
+        for _ in range(steps):
+            c.step(pull(p, c.part, u, noise) @ u - 0.002 * c.part)
     return v
 
 
@@ -449,8 +561,7 @@ def learn(df: DataFrame) -> Learned:
     words = c.filter("what = 'w' and n > 0").select(F.col("key").alias("word"), "n")
     basis = [r["word"] for r in words.filter(~F.col("word").rlike(r"[^\p{L}]")).orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()]
     ctx = context_counts(df, basis)
-    fit = ctx.join(words.orderBy(F.desc("n"), "word").limit(FITTED), "word").select("word", "cs", "ns").orderBy("word").toPandas()
-    u, noise = train(dense(fit["cs"], fit["ns"], len(basis))) if len(fit) else (np.zeros((len(basis), DIM), np.float32), np.zeros(len(basis), np.float32))
+    u, noise = fit_contexts(ctx, len(basis))
     links = cut(word_links(c, ctx, u, noise), "links")
     none = F.lit(None).cast(links.schema["links"].dataType)
     entries = (

@@ -316,6 +316,31 @@ def test_vectors_decide_what_is_a_misreading(spark, monkeypatch):
     assert any(kinds()[i] for i in range(150, 162))
 
 
+def test_every_word_fits_the_contexts(spark):
+    """What the rarest of over 4,000 words stand beside moves the context vectors: the two worlds differ in that only."""
+    def world(beside):
+        rows = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} {'a b c d'.split()[i % 4]}a" for i in range(4100)] * 2
+        return spark.createDataFrame([(t,) for t in rows + [f"rare{chr(97 + i % 26)}{chr(97 + i // 26)} {beside(i)}" for i in range(200)]], "text string")
+
+    one, other = (scans.learn(world(b)) for b in (lambda i: "aa" if i < 100 else "ba", lambda i: "aa" if i % 2 else "ba"))
+    assert one.basis == other.basis and not np.array_equal(one.u, other.u)
+
+
+def test_tasks_that_fit_together_agree(spark):
+    """The fit is the same in one task, in several, and over plain arrays."""
+    rnd = random.Random(8)
+    rows = [(f"w{i}", sorted(rnd.sample(range(20), 3)), [rnd.randint(1, 90) for _ in range(3)]) for i in range(3 * scans.BUCKET)]
+    ctx = spark.createDataFrame(rows, "word string, cs array<int>, ns array<bigint>").repartition(5)
+    u, noise = scans.fit_contexts(ctx, 20, 1)
+    for x, y in zip((u, noise), scans.fit_contexts(ctx, 20, 3)):
+        assert np.array_equal(x, y)
+    words = ctx.selectExpr("word", "cs", "ns", "pmod(xxhash64(word), 3) as b").toPandas().sort_values("word")
+    plain, _ = scans.train([(k, scans.dense(g["cs"], g["ns"], 20)) for k, g in words.groupby("b")], 20)
+    assert np.allclose(u, plain, atol=1e-4)
+    empty = ctx.filter("false")
+    assert scans.fit_contexts(empty, 4)[0].shape == (4, scans.DIM)
+
+
 def test_headers_beyond_any_number_of_shapes(spark):
     """Running lines of very many files: each is found, however many other shapes are used more."""
     rows = [(i, f"the council shall inspect\n- {i % 9 + 1} -\nNotice Board {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'klmnopqrst'[i // 100]}\nthe hydrant {chr(97 + i % 26)}{i}") for i in range(1000) for _ in range(2)]
