@@ -421,12 +421,13 @@ class Together:
 
 
 def tasks_at_once(spark) -> int:
-    """How many tasks can run at the same time; 1 where that may change, as tasks that wait for each other aren't possible there."""
+    """Half of the tasks that can run at the same time, so that they find room again when an executor is lost; 1 where executors come
+    and go, as tasks that wait for each other aren't possible there."""
     sc = spark.sparkContext
     if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
         return 1
     jsc = sc._jsc.sc()
-    return max(1, jsc.maxNumConcurrentTasks(jsc.resourceProfileManager().defaultResourceProfile()))
+    return max(1, jsc.maxNumConcurrentTasks(jsc.resourceProfileManager().defaultResourceProfile()) // 2)
 
 
 def fit_contexts(ctx: DataFrame, size: int, tasks: int = TASKS) -> tuple[np.ndarray, np.ndarray]:
