@@ -3,6 +3,7 @@ rules, corpus maps, and verdicts that rest on several witnesses. Pairs are forme
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -36,57 +37,129 @@ def definitions(sts: DataFrame) -> DataFrame:
     return sts.select("id", "doc", F.explode(F.regexp_extract_all(text_of("text"), F.lit(DEFINES), F.lit(1))).alias("p")).select("id", "doc", fold("p").alias("phrase")).distinct()
 
 
-#: Defined phrases that are at hand at once; more are looked for in several passes.
-PHRASES = 200_000
+#: Defined phrases for which a filter has room, 16 bits each. With more of them it lets more through, which costs time: the result is the same.
+PHRASES = 16_000_000
+#: Characters of a phrase that are looked for first, and characters of texts that are looked through at once.
+HEAD, AT_ONCE = 6, 1 << 18
+#: Odd factors of the hashes that give a phrase's bits in the filter.
+TIMES = (1, 0xBF58476D1CE4E5B9)
+#: Tasks that share the texts of one phrase.
+TURNS = 8
 
 
 def defined_links(sts: DataFrame, at_once: int = PHRASES) -> DataFrame:
     """(definition, id, phrase): statements of other sources that hold a defined phrase, the first definition of each. Of a phrase
     only the first definition and the first of another source can be asked for. Texts stay where they are: each is looked
-    through once for every ``at_once`` phrases, so neither texts nor pairs are moved, and nothing of the statements' size is
-    ever broadcast."""
+    through once, by a filter of bits that an executor makes, and what it lets through is held against the phrases themselves.
+    Through the driver goes the filter alone, never phrases: 42 MB at most."""
     d = definitions(sts).filter("doc is not null and id is not null")
     least = d.groupBy("phrase").agg(F.min(F.struct("id", "doc")).alias("x"))
     d = d.join(least.hint("merge"), "phrase").groupBy("phrase", "x").agg(F.min(F.when(F.col("doc") != F.col("x.doc"), F.col("id"))).alias("second"))
-    d = d.select("phrase", F.col("x.doc").cast("string").alias("doc"), F.col("x.id").cast("string").alias("first"), F.col("second").cast("string").alias("second"))
+    d = d.select("phrase", F.struct(F.col("x.doc").cast("string").alias("doc"), F.col("x.id").alias("first"), "second").alias("x"))
     d = cut(d, "phrases")
-    parts = max(1, -(-d.count() // at_once))
+    bits = max(6, (16 * min(d.count(), at_once) - 1).bit_length())
+    made = d.select("phrase").mapInPandas(phrase_slots(bits), "head int, size int, bit0 int, bit1 int").groupBy().applyInPandas(phrase_filter(bits), "filter binary").head()
+    ready = sts.sparkSession.sparkContext.broadcast(bytes(made[0]) if made else b"")
     kind = dict(sts.dtypes)["id"]
     texts = sts.filter("doc is not null").select(F.col("id").cast("string").alias("id"), F.col("doc").cast("string").alias("doc"), fold("text").alias("t"))
-    out = None
-    for part in range(parts):
-        rows = d.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).collect()
-        ready = sts.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-        hit = texts.mapInPandas(phrase_finder(ready), "definition string, id string, phrase string").select(*[F.col(c).cast(kind).alias(c) for c in ("definition", "id")], "phrase")
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("id", "phrase").agg(F.min("definition").alias("definition")).select("definition", "id", "phrase")
+    hit = texts.mapInPandas(phrase_finder(ready), "id string, doc string, phrase string").select("phrase", F.col("id").cast(kind).alias("id"), "doc", F.lit(True).alias("said"))
+    rows = hit.withColumn("turn", F.pmod(F.hash("id"), F.lit(TURNS)))
+    for turn in range(TURNS):
+        rows = rows.unionByName(d.select("phrase", "x", F.lit(False).alias("said"), F.lit(turn).alias("turn")), allowMissingColumns=True)
+    x = F.first("x", ignorenulls=True).over(Window.partitionBy("phrase", "turn").orderBy("said"))
+    out = rows.withColumn("x", x).filter("said and (doc <> x.doc or x.second is not null)")
+    return out.groupBy("id", "phrase", "turn").agg(F.min(F.when(F.col("doc") != F.col("x.doc"), F.col("x.first")).otherwise(F.col("x.second"))).alias("definition")).select("definition", "id", "phrase")
 
 
-def phrase_finder(ready):
-    """Of a broadcast list (phrase, doc, first, second): the phrases that texts (id, doc, t) hold, wherever in a word they begin or end."""
+class Spans:
+    """Hashes of 64 bits of any spans of texts, which stand one behind the other."""
+
+    base, mix = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+    def __init__(self, texts):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        power, back = (np.full(len(codes) + 1, x, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64)))
+        power[0] = back[0] = 1
+        self.back = np.cumprod(back)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(self.mix) * np.cumprod(power)[:-1], out=self.sums[1:])
+
+    def slots(self, at, size, bits: int, times: int = 1):
+        """The spans of ``size`` from ``at`` on, by the upper bits of their hashes, or of an odd multiple of these."""
+        return ((self.sums[at + size] - self.sums[at]) * self.back[at] * np.uint64(times)) >> np.uint64(64 - bits)
+
+
+def head_bits(bits: int) -> int:
+    return min(bits - 2, 20)
+
+
+def phrase_slots(bits: int):
+    """Where each phrase stands in the filter."""
 
     def run(frames):
-        heads: dict[str, dict] = {}  # the first six characters, or all of a shorter phrase, to phrases by length
-        for phrase, *x in ready.value:
-            heads.setdefault(phrase[:6], {}).setdefault(len(phrase), {})[phrase] = x
-        sizes = sorted({len(h) for h in heads})
         for f in frames:
-            rows = []
-            for i, doc, t in zip(f["id"], f["doc"], f["t"]):
-                seen = set()
-                for n in sizes:
-                    for at in range(len(t) - n + 1):
-                        got = heads.get(t[at : at + n])
-                        if got:
-                            for size, phrases in got.items():
-                                p = t[at : at + size]
-                                if p in phrases:
-                                    seen.add(p)
-                for p in seen:
-                    owner, first, second = heads[p[:6]][len(p)][p]
-                    if doc != owner or second is not None:
-                        rows.append((first if doc != owner else second, i, p))
-            yield pd.DataFrame(rows, columns=["definition", "id", "phrase"])
+            x = Spans(f["phrase"].tolist())
+            head = x.slots(x.starts, np.minimum(x.sizes, HEAD), head_bits(bits))
+            yield pd.DataFrame({"head": head.astype(np.int32), "size": x.sizes.astype(np.int32)} | {f"bit{k}": x.slots(x.starts, x.sizes, bits, times).astype(np.int32) for k, times in enumerate(TIMES)})
+
+    return run
+
+
+def phrase_filter(bits: int):
+    """The filter: for the first characters of phrases, or all of shorter ones, their lengths; for whole phrases, two bits; all lengths."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        heads, whole, size = np.zeros(1 << head_bits(bits), np.uint64), np.zeros(1 << (bits - 3), np.uint8), f["size"].to_numpy()
+        np.bitwise_or.at(heads, f["head"].to_numpy(), np.uint64(1) << (size % 64).astype(np.uint64))
+        for w in (f["bit0"].to_numpy(), f["bit1"].to_numpy()):
+            np.bitwise_or.at(whole, w >> 3, np.uint8(1) << (w & 7).astype(np.uint8))
+        return pd.DataFrame({"filter": [pickle.dumps((bits, heads, whole, np.unique(size)), protocol=5)]})
+
+    return run
+
+
+def phrase_finder(ready):
+    """By a broadcast filter: the phrases that texts (id, doc, t) may hold, wherever in a word they begin or end."""
+
+    def look(texts, bits, heads, whole, sizes):
+        x = Spans(texts)
+        row = np.repeat(np.arange(len(texts)), x.sizes)
+        end = (x.starts + x.sizes)[row]
+        found, last = set(), None
+        for n in sizes.tolist():
+            if last != min(n, HEAD):
+                last = min(n, HEAD)
+                at = np.arange(max(0, len(row) - last + 1))
+                lengths = heads[x.slots(at, last, head_bits(bits))]
+                some = np.flatnonzero(lengths)
+                lengths = lengths[some]
+            at = some[(lengths >> np.uint64(n % 64)) & np.uint64(1) > 0]
+            at = at[at + n <= end[at]]
+            for times in TIMES:
+                w = x.slots(at, n, bits, times)
+                at = at[(whole[w >> np.uint64(3)] >> (w & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            for r, i in zip(row[at].tolist(), (at - x.starts[row[at]]).tolist()):
+                found.add((r, texts[r][i : i + n]))
+        return found
+
+    def run(frames):
+        state = pickle.loads(ready.value) if ready.value else None
+        for f in frames if state else ():
+            rows, own, pieces, size = set(), [], [], 0
+            texts = f["t"].tolist()
+            for r, t in enumerate(texts):
+                for at in range(0, len(t), AT_ONCE):  # pieces of a long text overlap by the longest phrase
+                    own.append(r)
+                    pieces.append(t[at : at + AT_ONCE + int(state[-1][-1]) - 1])
+                    size += len(pieces[-1])
+                    if size >= AT_ONCE:
+                        rows |= {(own[k], p) for k, p in look(pieces, *state)}
+                        own, pieces, size = [], [], 0
+            rows |= {(own[k], p) for k, p in look(pieces, *state)}
+            r = np.array([r for r, _ in rows], np.int64)
+            yield pd.DataFrame({"id": f["id"].to_numpy()[r], "doc": f["doc"].to_numpy()[r], "phrase": pd.Series([p for _, p in rows], dtype=object)})
 
     return run
 

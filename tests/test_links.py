@@ -45,6 +45,36 @@ def test_definitions_of_any_letters_move_no_texts(spark):
     assert not broadcasts(df) and "Generate" not in df._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_phrases_do_not_go_through_the_driver(spark, monkeypatch):
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abжß𝔘é ") for _ in range(r.randint(1, 9))) + r.choice("xy")
+    said = ["".join(word() + " " for _ in range(r.randint(1, 6)))[: r.randint(3, 60)] for _ in range(150)]
+    said = [x if len(x) > 2 else x + "abc" for x in said] + ["q" * 60, "İ" * 40]
+    texts = [f'The "{x}" means a sum. ' + "".join(word() for _ in range(40)) + r.choice(said).upper() + r.choice(said) for x in said] + ["", "İ" * 40, None, "fee " * 400]
+    s = spark.createDataFrame([(i, f"d{i % 5}", t) for i, t in enumerate(texts)], "id int, doc string, text string")
+    low = {x.id: x.t for x in s.select("id", lk.fold("text").alias("t")).collect()}
+    meant = {}
+    for x in lk.definitions(s).collect():
+        meant.setdefault(x.phrase, []).append(x.id)
+    want = set()
+    for p, ids in meant.items():
+        for i, t in low.items():
+            if p in t and (other := [j for j in ids if j % 5 != i % 5]):
+                want.add((min(other), i, p))
+    assert len(want) > 200
+    came, real = [], type(s).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(s), "collect", lambda df: came.append(real(df)) or came[-1])
+        df = lk.defined_links(s)
+    assert sum(map(len, came)) <= 1  # all phrases used to be collected
+    assert rows(df) == sorted(want)
+    monkeypatch.setattr(lk, "AT_ONCE", 70)  # texts in pieces
+    assert rows(lk.defined_links(s, at_once=1)) == sorted(want)  # and a filter that lets nearly all through
+    assert rows(lk.defined_links(s.filter("id > 152"))) == []
+
+
 def test_deletions_of_names_are_not_broadcast(spark, monkeypatch):
     made = []
     monkeypatch.setattr(pr, "cut", lambda df, what="stage", real=pr.cut: made.append((what, broadcasts(df))) or real(df, what))
