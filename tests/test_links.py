@@ -160,6 +160,35 @@ def test_reading_across_moves_no_pairs(spark):
     assert beaten == rows(pr.read_across(s, sizes=0).select("a", "b")) and {*beaten} < {w[:2] for w in want}
 
 
+def test_reading_across_counts_all_shared_words(spark):
+    from types import SimpleNamespace
+
+    from quarrystone.queries import links as ql
+
+    texts = [" ".join(f"{w}word" for w in x) for x in texts_of(120, 8, words=25, least=2, most=9)]
+    doc = lambda i: f"d{i * 7 % 13}" if i % 31 else None
+    o = spark.createDataFrame([(i, doc(i), x) for i, x in enumerate(texts)], "id long, token string, verbatim string")
+    s = o.select("id", F.col("token").alias("doc"), F.col("verbatim").alias("text")).filter("doc is not null")
+    bags = {}
+    for r in pr.token_table(s).collect():
+        bags.setdefault(r.id, set()).add(r.token)
+    idf = {r.token: r.idf for r in pr.idf_bits(pr.token_table(s)).collect()}
+    assert sum(sum(t in b for b in bags.values()) > len(bags) ** 0.5 + 1 for t in idf) > 5  # words that used to be left out
+    like = {(a, b): round(sum(idf[t] for t in bags[a] & bags[b]), 9) for a in bags for b in bags if a < b and doc(a) != doc(b) and bags[a] & bags[b]}
+    want = {}
+    for (a, b), x in like.items():
+        others = [y for (p, q), y in like.items() if (p, q) != (a, b) and {doc(p), doc(q)} == {doc(a), doc(b)} and {p, q} & {a, b}]
+        if all(y < x for y in others):
+            want[a, b] = (doc(a), doc(b), len(bags[a] & bags[b]), x)
+    for block, cells in ((1000, 4_000_000), (1000, 100), (25, 30)):  # one block and several; documents at once and in parts
+        got = pr.read_across(s, null=False, block=block, rare=False, cells=cells)
+        assert sorted(got.collect()) == sorted((*k, *v) for k, v in want.items())
+    sizes = spark.createDataFrame([(len(p), len(q)) for p in bags.values() for q in bags.values() if len(p) <= len(q)], "na int, nb int")
+    floor = {(r.na, r.nb): r.floor for r in nl.floors(pr.token_table(s), sizes).collect()}
+    beaten = {(a, b) for (a, b), v in want.items() if v[3] > floor[tuple(sorted((len(bags[a]), len(bags[b]))))]}
+    assert beaten and {(r.a, r.b) for r in ql.read_across(SimpleNamespace(obs=o)).collect()} == beaten
+
+
 def test_candidates_need_support_and_no_attack(spark):
     g = spark.createDataFrame([(1, ["port", "of", "tarrow"], "place", 1950)], "id int, words array<string>, kind string, year int")
     c = spark.createDataFrame([("x", 1, ["port", "tarrow"], "place", 1900, 2000), ("y", 1, ["port", "tarrow"], "ship", 1900, 2000), ("z", 1, ["port"], None, None, None), ("w", 1, ["tarrow", "port"], "place", 1960, None)], "cand string, id int, words array<string>, kind string, since int, until int")
