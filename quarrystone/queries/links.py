@@ -238,11 +238,11 @@ def merge_devices(t):
     return ol.merge_devices(a, b, e.filter("event_type = 'error' and value > 150"), "id", ["v"])
 
 
-@query("""WITH q AS (SELECT id AS query, token, a, b, unnest(list_distinct(regexp_extract_all(lower(verbatim),'[a-z]{5,}'))) AS term FROM obs WHERE id%100=0), c AS (SELECT id AS key, unnest(list_distinct(regexp_extract_all(lower(text),'[a-z]{5,}'))) AS term FROM chunks), h AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, key) AS rank FROM q JOIN c ON c.term=q.term GROUP BY 1,2), g AS (SELECT DISTINCT q.id AS query, c.id AS key FROM obs q JOIN chunks c ON c.token=q.token AND q.a<c.b AND c.a<q.b WHERE q.id%100=0)
+@query("""WITH q AS (SELECT id AS query, token, a, b, unnest(list_distinct(regexp_extract_all(lower(verbatim),'[a-z]{5,}'))) AS term FROM obs), c AS (SELECT id AS key, unnest(list_distinct(regexp_extract_all(lower(text),'[a-z]{5,}'))) AS term FROM chunks), h AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, key) AS rank FROM q JOIN c ON c.term=q.term GROUP BY 1,2), g AS (SELECT DISTINCT q.id AS query, c.id AS key FROM obs q JOIN chunks c ON c.token=q.token AND q.a<c.b AND c.a<q.b)
 SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS found, round(avg(hit),6) AS recall FROM (SELECT g.query, max(CASE WHEN h.rank<=10 THEN 1 ELSE 0 END) AS hit FROM g LEFT JOIN h ON h.query=g.query AND h.key=g.key GROUP BY 1)""")
 def span_recall(t):
     """Whether a chunk that holds a quoted passage by its place is among the ten that share most words with it."""
-    q = t.obs.filter("id % 100 = 0")
+    q = t.obs
     terms = lambda x: F.regexp_extract_all(F.lower(sc.text_of(x)), F.lit("[a-z]{5,}"), F.lit(0)).alias("terms")
     c = t.chunks.select(F.col("id").alias("key"), "token", F.col("a").alias("ca"), F.col("b").alias("cb"))
     truth = q.join(c, "token").filter("a < cb and ca < b").select(F.col("id").alias("query"), "key")

@@ -141,6 +141,25 @@ def test_recall_moves_no_hits(spark):
         assert "Window" not in got._jdf.queryExecution().sparkPlan().toString()  # all hits used to be ranked
 
 
+def test_recall_asks_for_all_passages(spark):
+    from types import SimpleNamespace
+
+    from quarrystone.queries import links as ql
+
+    # Many passages hold the words of some quotes, so that true ones fall behind; ids are not multiples of a hundred.
+    words = [[f"harbor{w[1:].translate(str.maketrans('0123456789', 'abcdefghij'))}" for w in x] for x in texts_of(150, 11, words=14, least=1, most=9)]
+    chunks = [(i, f"d{i % 6}", 10 * (i // 6), 10 * (i // 6) + 10, " ".join(x)) for i, x in enumerate(words)]
+    obs = [(1000 * i + 7, c[1], c[2] + 1, c[2] + 8 + i % 4, " ".join(words[i][: 1 + i % 4] + ["pierhead"] * (i % 5 == 0))) for i, c in enumerate(chunks)]
+    t = SimpleNamespace(obs=spark.createDataFrame([*obs, (3, "d1", 0, 9, None), (4, None, 0, 9, "harbora")], "id long, token string, a int, b int, verbatim string"), chunks=spark.createDataFrame(chunks, "id long, token string, a int, b int, text string"))
+    found = 0
+    for _, doc, a, b, text in obs:
+        x = {*text.split()}
+        rank = [j for _, j in sorted((-len(x & {*y}), j) for j, y in enumerate(words) if x & {*y})][:10]
+        found += any(chunks[j][1] == doc and a < chunks[j][3] and chunks[j][2] < b for j in rank)
+    assert 10 < found < len(obs) - 10
+    assert rows(ql.span_recall(t)) == [(len(obs) + 1, found, round(found / (len(obs) + 1), 6))]
+
+
 def test_reading_across_moves_no_pairs(spark):
     texts = [" ".join(["harbor"] * (not x), ) + " ".join(f"{w}word" for w in x) for x in texts_of(90, 6, words=60, least=3)]
     doc = lambda i: f"d{i * 7 % 11}"  # noqa: E731  # documents' statements lie between each other
